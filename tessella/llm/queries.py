@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from . import mixing
 from . import near_duplicates as nd
+from . import tokens
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -17,5 +19,24 @@ def p1_classes(spark: SparkSession, directory: str) -> DataFrame:
     return nd.duplicate_classes(*nd.near_duplicates(table(spark, directory, "extracted_document", "document_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes)}
-SQL: dict[str, str] = {}
+def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
+    return tokens.encoded(table(spark, directory, "documents", "doc_id", "text"))
+
+
+def p6_decoded(spark: SparkSession, directory: str) -> DataFrame:
+    """The texts again; null texts come back empty."""
+    return tokens.decoded(p6_ids(spark, directory))
+
+
+def p7_mix(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.mixed(table(spark, directory, "documents"), table(spark, directory, "source_mix"))[0]
+
+
+def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.shares(*mixing.mixed(table(spark, directory, "documents"), table(spark, directory, "source_mix")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_ids, p6_decoded, p7_mix, p7_shares)}
+SQL: dict[str, str] = {
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
