@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from . import linking
 from . import mixing
 from . import near_duplicates as nd
 from . import tokens
@@ -19,6 +20,14 @@ def p1_classes(spark: SparkSession, directory: str) -> DataFrame:
     return nd.duplicate_classes(*nd.near_duplicates(table(spark, directory, "extracted_document", "document_id", "text")))
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return linking.linked(
+        table(spark, directory, "extracted_entity", "entity_id", "canonical_name", "redirects_to"),
+        table(spark, directory, "extracted_entity_alias", "alias_id", "entity_id", "surface"),
+        table(spark, directory, "serving_patent", "pub_no", "assignee"),
+    )
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.encoded(table(spark, directory, "documents", "doc_id", "text"))
 
@@ -36,7 +45,7 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.shares(*mixing.mixed(table(spark, directory, "documents"), table(spark, directory, "source_mix")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_ids, p6_decoded, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares)}
 SQL: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
