@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.materialize import materialize
 from ..sources.tables import table
 from . import linking
 from . import mixing
 from . import near_duplicates as nd
-from . import tokens
+from . import representative, tokens
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -20,6 +21,19 @@ def p1_classes(spark: SparkSession, directory: str) -> DataFrame:
     return nd.duplicate_classes(*nd.near_duplicates(table(spark, directory, "extracted_document", "document_id", "text")))
 
 
+def _survivors(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "serving_competitors")
+    return representative.winners(rows, materialize(representative.grouped(rows)))
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _survivors(spark, directory).select("group_id", "field", "comp_id")
+
+
+def p4_records(spark: SparkSession, directory: str) -> DataFrame:
+    return representative.records(_survivors(spark, directory))
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     return linking.linked(
         table(spark, directory, "extracted_entity", "entity_id", "canonical_name", "redirects_to"),
@@ -45,7 +59,7 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.shares(*mixing.mixed(table(spark, directory, "documents"), table(spark, directory, "source_mix")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_records, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares)}
 SQL: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
