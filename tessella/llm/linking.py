@@ -89,6 +89,7 @@ def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
 
     Nearer words go first, then labels that are known with the question's legal form; a tie of several labels is no answer.
     """
+    asked, known = materialize(asked), materialize(known)
     pairs = within_radius(asked, known.where("space != 'A'")).where("space != 'A'").select("space", F.col("a").alias("word"), F.col("b").alias("other"), "distance")
     same = asked.select("space", "word").distinct().withColumn("other", F.col("word")).withColumn("distance", F.lit(0))
     links = pairs.unionByName(same)
@@ -97,7 +98,7 @@ def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
     form = F.when((F.col("legal") != "") & F.array_contains("legals", F.col("legal")), 0).otherwise(1)
     each = found.groupBy("key", "label").agg(F.min(F.struct("distance", form.alias("form"))).alias("score"))
     best = each.withColumn("least", F.min("score").over(Window.partitionBy("key"))).where("score = least")
-    return best.groupBy("key").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")).where("n = 1").select("key", "label")
+    return materialize(best.groupBy("key").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")).where("n = 1").select("key", "label"))
 
 
 def linked(entities: DataFrame, aliases: DataFrame, patents: DataFrame) -> DataFrame:
@@ -119,10 +120,11 @@ def linked(entities: DataFrame, aliases: DataFrame, patents: DataFrame) -> DataF
     full = materialize(rows.join(label, ["space", "word"]).withColumnRenamed("identity", "label"))
 
     named = full.where("owner is not null").select(F.col("owner").alias("entity"), "label").distinct()
+    named = materialize(named)
     redirects = entities.select(F.col("entity_id").alias("entity"), F.concat(F.lit("e|"), "redirects_to").alias("label")).where("entity is not null and label is not null").distinct()
     open_names = rows.where("space is null")
     # entities none of whose names has a full point: by what answers, else by their own words
-    lone = open_names.where("owner is not null").join(named.select(F.col("entity").alias("owner")).distinct(), "owner", "left_anti")
+    lone = materialize(open_names.where("owner is not null").join(named.select(F.col("entity").alias("owner")).distinct(), "owner", "left_anti"))
     # names for looking up: all full names under their identity, the own open names of an entity under the entity
     of_entity = open_names.where("owner is not null").withColumn("label", F.concat(F.lit("e|"), "owner"))
     full_entity = full.where("owner is not null").withColumn("label", F.concat(F.lit("e|"), "owner"))
@@ -131,9 +133,9 @@ def linked(entities: DataFrame, aliases: DataFrame, patents: DataFrame) -> DataF
     )
     group = materialize(first)
     regroup = lambda df: df.join(group.select(F.col("node").alias("label"), "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
-    known = materialize(targets(regroup(full_entity.unionByName(of_entity.join(lone.select("owner").distinct(), "owner", "left_anti")))))
+    known = targets(regroup(full_entity.unionByName(of_entity.join(lone.select("owner").distinct(), "owner", "left_anti"))))
     settled = answers(questions(lone.withColumn("key", F.col("owner"))), known).select(F.col("key").alias("entity"), "label")
-    own = targets(lone.withColumn("label", F.concat(F.lit("e|"), "owner")))
+    own = materialize(targets(lone.withColumn("label", F.concat(F.lit("e|"), "owner"))))
     alike = own.alias("l").join(own.alias("r"), (F.col("l.space") == F.col("r.space")) & (F.col("l.word") == F.col("r.word")) & (F.col("l.label") < F.col("r.label"))).where("l.space = 'F' or l.space like 'P%'")
     loose = lone.select("owner").distinct().join(settled.select(F.col("entity").alias("owner")), "owner", "left_anti").select(F.concat(F.lit("e|"), "owner").alias("label"))
     alike = alike.select(F.col("l.label").alias("a"), F.col("r.label").alias("b"))
