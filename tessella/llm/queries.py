@@ -9,7 +9,7 @@ from ..sources.tables import table
 from . import linking
 from . import mixing
 from . import near_duplicates as nd
-from . import representative, tokens
+from . import representative, sentences, tokens
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -21,6 +21,10 @@ def p1_classes(spark: SparkSession, directory: str) -> DataFrame:
     return nd.duplicate_classes(*nd.near_duplicates(table(spark, directory, "extracted_document", "document_id", "text")))
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return sentences.split(table(spark, directory, "extracted_document", "document_id", "text"))
+
+
 def _survivors(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "serving_competitors")
     return representative.winners(rows, materialize(representative.grouped(rows)))
@@ -59,7 +63,7 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.shares(*mixing.mixed(table(spark, directory, "documents"), table(spark, directory, "source_mix")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_records, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p4_found, p4_records, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares)}
 SQL: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
