@@ -28,22 +28,22 @@ BULLETS = "-–—•*·‣▪◦●○■□►▶→✓"
 # Words before a full stop that do not end a sentence, and such that may, by language; lower case.
 NEVER = set(
     "mr mrs ms dr prof gen lt capt col maj sgt cpl st ste rev hon no nos fig figs p pp vol ch sec art approx ca cca vs cf e.g i.e eg ie al jan feb mar apr jun jul aug sep sept oct nov "
-    "dec rs mk dept est cmdr adm sen rep gov pres mt ft ave nr hr fr z b d u bzw vgl fa mio mrd inkl ggf str bd abs ing dipl frl zb "
+    "dec rs mk sp dept est cmdr adm sen rep gov pres mt ft ave nr hr fr z b d u bzw vgl fa mio mrd inkl ggf str bd abs ing dipl frl zb "
     "m mm mme mlle mlles me env av ex sr sra srta sres dra dña núm núms num aprox ej pág págs ee uu n.º n.ª nº exmo sig sig.ra sigg dott dott.ssa avv ad es pag "
     "dhr mevr mw ir drs bijv blz nl inż mgr np ok ul godz tzn m.in tys pkt str tel sn vb yy bkz cad sok "
-    "г т е д ок им ул тыс стр рис см проф гр д-р бл м р ім вул тис напр डॉ सं श्री श्रीमती प्रो कु د أ م".split()
+    "г т е д дж ок им ул тыс стр рис см проф гр д-р бл м р ім вул тис напр डॉ सं श्री श्रीमती प्रो कु د أ م".split()
 )
 MAY = set("ltd inc corp co ltda s.a s.l s.p.a a.ş a.s o.o g.m.b.h b.v n.v etc usw a.m p.m руб млн млрд proc mln mld mrd jr bros plc llc kg km".split())
 # Words between which and a noun a German ordinal stands.
 ORDINAL = set("am dem der den des die das vom zum zur beim bis ab seit im und oder nach vor jeder jedem jedes jeden ihr ihrem sein seinem kein jede".split())
-_LINES = str.maketrans({"\r": "\n", "\x0b": "\n", "\x0c": "\n", "\x85": "\n", " ": "\n", " ": "\n"})
+_LINES = str.maketrans(dict.fromkeys("\r\x0b\x0c\x85  ", "\n"))
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _CLOSERS = "".join(re.escape(c) for c in CLOSE + QUOTES + "’'")
 _ENDS = re.compile(rf"(?:[{STRONG}{WIDE}.…]+|(?<=\s)\|(?=\s|$))(?:[^\S\n]?[»›](?!\w)|[{_CLOSERS}])*")
 _BEFORE = re.compile(r"[^\s(«“\"„\[:،,’'/]+$")
 _NEXT = re.compile(rf"\s*([{re.escape(OPEN + QUOTES)}¿¡'‘]*)\s*([{re.escape(BULLETS)}…]*)\s*([{re.escape(OPEN + QUOTES)}¿¡'‘]*)\s*(\w[\w'’]*)?")
-_THAI = re.compile(r"[฀-໿က-႟ក-៿]")
-_ASIAN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_THAI = re.compile("[฀-໿က-႟ក-៿]")
+_ASIAN = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 _ITEM = re.compile(rf"(?:[{re.escape(BULLETS)}]|\(?\d{{1,3}}\)|\d{{1,2}}\.(?!\s*[a-z])|\(?[a-z]\)|\(?[ivxIVX]{{1,4}}\))\s+(?=\S)")
 _TRIM = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0            ​    ⁠　﻿"
 #: Longest span considered where a shorter one is possible, in characters.
@@ -82,10 +82,10 @@ _MARKS = re.compile(rf"[{re.escape(OPEN + CLOSE + QUOTES)}]")
 
 
 def _opening(word: str, openers: dict[str, float], small: bool) -> float:
-    """Evidence that a word opens a sentence; small: the text has no capitals."""
+    """Evidence that a word opens a sentence; small: the text has only small letters or only capitals."""
     known = openers.get(word, 0.0) or openers.get(word.capitalize(), 0.0)
     c = word[0]
-    if c.islower() and small:
+    if small:
         return known + 0.5
     if c.islower():
         return -12.0 if known <= 0 else -9.0
@@ -122,7 +122,7 @@ def _weak_end(before: str, ahead: str, after: str, openers: dict[str, float], sm
 
 
 def _block(s: str, at: int, end: int, openers: dict[str, float], wrap: int, small: bool) -> list[tuple[int, int]]:
-    """The spans of one block; wrap: the usual length of broken lines, 0 where lines are paragraphs, small: the text has no capitals."""
+    """The spans of one block; wrap: the usual length of broken lines, 0 where lines are paragraphs, small: the text has only small letters or only capitals."""
     _, _, pairs = _depths(s, at, end)
     inside: list[tuple[int, int]] = sorted(pairs.items())
     ends: dict[int, float] = {}
@@ -301,7 +301,7 @@ def sentences(text: str | None, openers: dict[str, float] | None = None) -> list
     if inner and 45 <= inner[len(inner) // 2] <= 100 and sum(len(x) > 105 for x in lines) * 12 <= len(inner):
         wrap = inner[len(inner) * 3 // 4]
     letters = sum(map(str.isupper, s)), sum(map(str.islower, s))
-    small = letters[0] * 100 < letters[1]
+    small = min(letters) * 100 < max(letters)
     out: list[tuple[int, int]] = []
     at = 0
     for m in [*_BLANK.finditer(s), None]:
@@ -338,8 +338,8 @@ def opening_words(rows: DataFrame, text_column: str = "text", least: float = 2e-
             for text in batch.column(0).to_pylist():
                 if text:
                     b, n = opening_counts(text)
-                    begin += b
-                    every += n
+                    begin.update(b)
+                    every.update(n)
                     docs.update(n.keys())
             words = [*every]
             yield pa.RecordBatch.from_arrays(
