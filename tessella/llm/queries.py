@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.materialize import materialize
 from ..sources.tables import table
-from . import linking
+from . import languages, linking
 from . import mixing
 from . import near_duplicates as nd
 from . import representative, sentences, tokens
@@ -25,6 +25,14 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return sentences.split(table(spark, directory, "extracted_document", "document_id", "text"))
 
 
+def p3_segments(spark: SparkSession, directory: str) -> DataFrame:
+    return languages.segmented(table(spark, directory, "extracted_document", "document_id", "text", "language"), table(spark, directory, "language_ref"))
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return languages.questionable(p3_segments(spark, directory))
+
+
 def _survivors(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "serving_competitors")
     return representative.winners(rows, materialize(representative.grouped(rows)))
@@ -63,7 +71,7 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.shares(*mixing.mixed(table(spark, directory, "documents"), table(spark, directory, "source_mix")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p4_found, p4_records, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p3_found, p3_segments, p4_found, p4_records, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares)}
 SQL: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
