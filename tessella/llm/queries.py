@@ -9,7 +9,7 @@ from ..sources.tables import table
 from . import languages, linking
 from . import mixing
 from . import near_duplicates as nd
-from . import representative, sentences, tokens
+from . import personal, representative, sentences, tokens
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -71,7 +71,20 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.shares(*mixing.mixed(table(spark, directory, "documents"), table(spark, directory, "source_mix")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p3_found, p3_segments, p4_found, p4_records, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return personal.located(table(spark, directory, "documents", "doc_id", "text"))
+
+
+def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    kinds = {r.kind: r.placeholder for r in table(spark, directory, "pii_kind", "kind", "placeholder").collect()}  # a row a kind
+    return personal.rewritten(table(spark, directory, "documents", "doc_id", "text"), kinds)
+
+
+def p8_surrogates(spark: SparkSession, directory: str) -> DataFrame:
+    return personal.rewritten(table(spark, directory, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p3_found, p3_segments, p4_found, p4_records, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_redacted, p8_surrogates)}
 SQL: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
