@@ -63,7 +63,7 @@ GIVEN = {
 
 def phonetic(word: str) -> str:
     """Spelling differences between scripts taken out: c as k (not in ch), w as v, doubled forms of the same sound."""
-    return re.sub("c(?!h)", "k", word).replace("w", "v").replace("ph", "f").replace("q", "k")
+    return re.sub("c(?!h)", "k", word).replace("w", "v").replace("ph", "f").replace("q", "k").replace("x", "ks")
 
 
 def fold(text: str) -> str:
