@@ -1,6 +1,6 @@
-"""Queries of the core library, by name; `SQL` has the same for an independent engine."""
+"""All queries of the core library, by name; `SQL` has the same for an independent engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import analytics, documents, dml, entities, joins, metrics, ranking, scalars, streams  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
