@@ -38,7 +38,7 @@ def usable(field: Column, value: Column, year: Column) -> Column:
     """Whether a value says something; a year lies between `EARLIEST_YEAR` and the year its row was updated in."""
     plain = tidy(value)
     says = value.isNotNull() & ~plain.isin(*NOTHING) & value.rlike(r"(?U)\w")
-    number = F.expr("try_cast(value as int)")
+    number = value.try_cast("int")
     possible = number.between(F.lit(EARLIEST_YEAR), F.coalesce(year, F.lit(2100)))
     return says & F.when(field == "starting_year", F.coalesce(possible, F.lit(False))).otherwise(True)
 
