@@ -99,7 +99,10 @@ def _opening(word: str, openers: dict[str, float], small: bool) -> float:
 def _weak_end(before: str, ahead: str, after: str, openers: dict[str, float], small: bool) -> float:
     """Evidence of the word before a full stop, given the words ahead of it and after it."""
     if before[-1:].isascii() or before[-1:] < "ɐ":
-        before = _LATIN.search(before)[0] or before
+        tail = _LATIN.search(before)[0] or before
+        if len(tail) < len(before) and before[-len(tail) - 1].isdigit() and tail.isalpha():
+            return 3.0  # a unit behind its number
+        before = tail
     low = before.lower().rstrip(".")
     known = openers.get(after, 0.0)
     if not low:
@@ -162,7 +165,9 @@ def _block(s: str, at: int, end: int, openers: dict[str, float], wrap: int, smal
             before = _BEFORE.search(s, max(at, m.start() - 30), m.start())
             word = before[0] if before else ""
             ahead = s[max(at, m.start() - len(word) - 15) : m.start() - len(word)].split()
-            score += _weak_end(word, ahead[-1] if ahead else "", first, openers, small)
+            if len(word) == 1 and ahead and ahead[-1][-1] in "'’":
+                word, ahead = ahead[-1] + word, ahead[:-1]
+            score += 4.0 if "’" in word or "'" in word and len(word) > 3 else _weak_end(word, ahead[-1] if ahead else "", first, openers, small)
         elif wide:
             score = max(score, 0.0) + 5.0 if not closed else 5.0
         else:
