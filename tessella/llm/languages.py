@@ -31,6 +31,8 @@ ORDER, SAMPLE = 5, 300
 ORDERS = (2, 3, 3, 3, ORDER)
 #: Cost of a change of language between sentences, and the characters beyond which confidence grows no more.
 CHANGE, ENOUGH = 7.0, 60
+#: Weight of pieces in which capitals do not tell names from words.
+UNSURE = 0.25
 # Letters of each script but Latin, with the weight of one letter against one Latin letter.
 SCRIPTS = {
     "Cyrl": ("Ѐ-ԯ", 1.0), "Arab": ("؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿", 1.2), "Deva": ("ऀ-ॿ", 1.2), "Thai": ("฀-๿", 1.0),
@@ -260,13 +262,15 @@ class Identifier:
             groups[script_of(p)].append(i)
         for script, which in groups.items():
             texts = [letters(pieces[i], script) for i in which]
+            sure = [script not in CASED or sum(len(w) for w in _KEEP[script].findall(pieces[i]) if w[0].islower()) >= 8 for i in which]
             if script in self.only:
                 for i, t in zip(which, texts):
                     out[i] = (script, {self.only[script]: 0.0}, max(0, len(t) - 2))
             elif script in self.tables:
                 table = self.tables[script]
                 scores, sizes = table.score(texts)
-                for i, row, n in zip(which, scores.tolist(), sizes.tolist()):
+                for i, row, n, certain in zip(which, scores.tolist(), sizes.tolist(), sure):
+                    row = row if certain else [x * UNSURE for x in row]
                     out[i] = (script, dict(zip(table.languages, row)), max(0, n - 2))
         return out
 
