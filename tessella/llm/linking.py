@@ -43,12 +43,26 @@ def with_point(rows: DataFrame) -> DataFrame:
     )
 
 
-def identities(points: DataFrame) -> DataFrame:
-    """(space, word, identity) of all points; identity is the least "space|word" of those tied together."""
-    every = points.select("space", "word").where("space is not null").distinct()
-    pairs = within_radius(every, every).where("a < b")
+#: Support up to which a spelling counts as rare, so that a distance of three may be a slip.
+RARE = 2
+
+
+def identities(rows: DataFrame) -> DataFrame:
+    """(space, word, identity) of all points; identity is the least "space|word" of those tied together.
+
+    Distinct firms may have heads as alike as two slips of one. A spelling is therefore tied only to its best neighbour of
+    more support (distinct names; ties by the alphabet): the nearest, then the best supported one. At distance three only
+    rare spellings are tied. So two well supported heads that are three apart stay two, and a slip between them joins one.
+    """
+    every = materialize(rows.where("space is not null").groupBy("space", "word").agg(F.countDistinct("key").alias("n")))
+    pairs = within_radius(every, every)
+    l = every.select("space", F.col("word").alias("a"), F.col("n").alias("na"))
+    r = every.select("space", F.col("word").alias("b"), F.col("n").alias("nb"))
+    better = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    known = pairs.join(l, ["space", "a"]).join(r, ["space", "b"]).where(better & ((F.col("distance") < 3) | (F.col("na") <= RARE)))
+    best = known.groupBy("space", "a").agg(F.expr("min_by(b, struct(distance, -nb, b))").alias("b"))
     name = lambda c: F.concat_ws("|", "space", c)
-    tied = components(pairs.select(name("a").alias("a"), name("b").alias("b")))
+    tied = components(best.select(name("a").alias("a"), name("b").alias("b")))
     return every.withColumn("node", name("word")).join(tied, "node", "left").select("space", "word", F.coalesce("component", "node").alias("identity"))
 
 
@@ -87,12 +101,15 @@ def questions(rows: DataFrame) -> DataFrame:
 def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
     """(key, label) where exactly one label of `known` answers a question best.
 
-    Nearer words go first, then labels that are known with the question's legal form; a tie of several labels is no answer.
+    A wider space holds more names, so words may differ by two edits there, and by one where only an initial stands before
+    them. Nearer words go first, then labels that are known with the question's legal form; a tie of several labels is no answer.
     """
     asked, known = materialize(asked), materialize(known)
     pairs = within_radius(asked, known.where("space != 'A'")).where("space != 'A'").select("space", F.col("a").alias("word"), F.col("b").alias("other"), "distance")
     same = asked.select("space", "word").distinct().withColumn("other", F.col("word")).withColumn("distance", F.lit(0))
-    links = pairs.unionByName(same)
+    parts = F.size(F.split("space", "[|]"))
+    most = F.when(F.col("space").startswith("F|") & (parts == 2), 1).otherwise(2)
+    links = pairs.where(F.col("distance") <= most).unionByName(same)
     label = known.groupBy("space", F.col("word").alias("other"), "label").agg(F.collect_set("legal").alias("legals"))
     found = asked.join(links, ["space", "word"]).join(label, ["space", "other"])
     form = F.when((F.col("legal") != "") & F.array_contains("legals", F.col("legal")), 0).otherwise(1)
