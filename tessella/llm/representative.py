@@ -59,7 +59,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     """(comp_id, group_id) for each row of non-null comp_id; group_id is the least comp_id of its firm.
 
     A row's line of business comes from its name, else from its sector. Rows tie to their (business, name) identity and to
-    their host. Rows without line of business and host go to the one firm whose names answer best; where several firms
+    their host. Rows of which no row with the same host has a line of business go to the one firm whose names answer best; where several firms
     answer equally well, or none, a row stays alone (or with rows of the same bare name that are alone too).
     """
     base = rows.where("comp_id is not null").select("comp_id", "name", "sector", "site").distinct()
@@ -72,9 +72,10 @@ def grouped(rows: DataFrame) -> DataFrame:
     mine = F.concat(F.lit("r|"), "key")
     edges = full.select(mine.alias("a"), F.col("identity").alias("b")).union(read.where("host is not null").select(mine.alias("a"), F.concat(F.lit("s|"), "host").alias("b")))
     first = materialize(components(edges))
-    labelled = read.withColumn("node", mine).join(first, "node", "left").withColumn("label", F.col("component"))
-    known = labelled.where("label is not null")
-    lone = labelled.where("label is null")
+    labelled = materialize(read.withColumn("node", mine).join(first, "node", "left").withColumn("label", F.col("component")))
+    sure = labelled.where("space is not null").select("label").distinct()
+    known = labelled.join(sure, "label", "left_semi")
+    lone = materialize(labelled.join(sure, "label", "left_anti"))  # also rows that only share a host with such rows
     settled = answers(questions(lone), targets(known)).select(F.concat(F.lit("r|"), "key").alias("a"), F.col("label").alias("b"))
     loose = lone.join(settled.select(F.col("a").alias("node")), "node", "left_anti").where("head != ''")
     alike = loose.select(F.col("node").alias("a"), F.concat(F.lit("h|"), "head").alias("b"))
