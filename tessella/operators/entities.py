@@ -80,6 +80,6 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 12, block: int =
                             rows["s"].append(float(score[i]))
             yield pa.RecordBatch.from_arrays([pa.array(rows["q"], pa.int64()), pa.array(rows["v"], pa.int64()), pa.array(rows["s"], pa.float64())], names=["q", "v", "s"])
 
-    found = slices.crossJoin(F.broadcast(asked)).select("qs", "vs").mapInArrow(run, "q long, v long, s double")  # a stated query set, in blocks
+    found = slices.crossJoin(asked).select("qs", "vs").mapInArrow(run, "q long, v long, s double")  # a stated query set, in blocks
     w = Window.partitionBy("q").orderBy(F.col("s").desc(), "v")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(key), F.col("v").alias("other"), F.col("s").alias("score"), "rank")
