@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,67 @@ def fragment_kind(quote: Column) -> Column:
     )
 
 
+def _even(value: Column) -> Column:
+    return F.regexp_replace(F.lower(value), r"\s+", " ")
+
+
 def quote_at(text: str, quote: str) -> Column:
     """Position (from 0) of the quote column in the text column, with blanks of any width as one; -1 where it is not there."""
-    even = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    return F.when(F.col(quote).isNull() | F.col(text).isNull(), -1).otherwise(F.position(even(F.col(quote)), even(F.col(text))) - 1)
+    return F.when(F.col(quote).isNull() | F.col(text).isNull(), -1).otherwise(F.position(_even(F.col(quote)), _even(F.col(text))) - 1)
+
+
+def _least_runs(value: str, run: int, window: int, first: bool) -> np.ndarray:
+    """The least hash of the runs of `run` characters in each window of `window` runs, or in the first one only."""
+    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = len(code) - run + 1
+    if n < window:
+        return np.empty(0, dtype=np.int64)
+    n = window if first else n
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(run):
+        h = (h + code[i : n + i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    width = 1
+    while width < window:  # least of ever wider windows, in log(window) steps
+        step = min(width, window - width)
+        h = np.minimum(h[:-step], h[step:])
+        width += step
+    return np.unique(h).view(np.int64)
+
+
+def _anchors(rows: DataFrame, value: str, size: int, first: bool) -> DataFrame:
+    """rows with `anchor`: what a text of `size` characters or more and every text that contains it have in common."""
+    run = max(size // 2, min(size, 8))
+    window = size - run + 1
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [_least_runs(v, run, window, first) for v in part.column(part.num_columns - 1).to_pylist()]
+                rows_of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_of), pa.array(np.concatenate(found), pa.int64())], names=["key", "anchor"])
+
+    return rows.select(F.col("key"), F.col(value)).mapInArrow(pick, f"key {rows.schema['key'].dataType.simpleString()}, anchor long")
+
+
+def quotes(docs: DataFrame, wanted: DataFrame, key: str, text: str, quote_key: str, quote: str) -> DataFrame:
+    """(key, quote_key, at) of each quote in each text, wherever it stands, `at` as by `quote_at`; each once.
+
+    Quotes are taken by classes of length. In a class a quote is known by the least hash of the runs in its first
+    characters; a text that contains it has those characters in one of its windows and so the same least hash. The join on
+    it proposes pairs, which are then looked at exactly. Null texts, null and empty quotes give nothing.
+    """
+    evened = docs.select(F.col(key).alias("key"), _even(F.col(text)).alias("hay")).where("hay is not null")
+    asked = wanted.select(F.col(quote_key).alias("quote_key"), _even(F.col(quote)).alias("key")).where("key != ''").distinct()
+    needles = asked.select("key").distinct().withColumn("hay", F.col("key")).withColumn("size", F.pow(F.lit(2), F.floor(F.log2(F.least(F.char_length("key"), F.lit(64))))).cast("int"))
+    pairs = None
+    for (size,) in sorted(needles.select("size").distinct().collect()):  # seven at most
+        known = _anchors(needles.where(F.col("size") == size).select("key", "hay"), "hay", size, True).withColumnRenamed("key", "quote")
+        met = _anchors(evened, "hay", size, False).join(known, "anchor").select("key", "quote")
+        pairs = met if pairs is None else pairs.union(met)
+    if pairs is None:
+        pairs = evened.select("key", F.col("hay").alias("quote")).limit(0)
+    hit = pairs.distinct().alias("p").join(evened.alias("e"), F.col("p.key").eqNullSafe(F.col("e.key"))).select("e.key", "hay", "quote")
+    placed = hit.withColumn("at", F.position(F.col("quote"), F.col("hay")) - 1).where("at >= 0").join(asked.select("quote_key", F.col("key").alias("quote")), "quote")
+    return placed.select(F.col("key").alias(key), F.col("quote_key").alias(quote_key), "at").distinct()

@@ -84,13 +84,10 @@ def all_words_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def quote_locations(spark: SparkSession, d: str) -> DataFrame:
-    """Abstracts of patents found again, word for word, in documents that name the same firm-independent sentence start."""
-    docs = table(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en' and text is not null")
+    """Abstracts of patents found again, word for word, anywhere in documents of any language."""
+    docs = table(spark, d, "documents", "doc_id", "text").where("text is not null")
     patents = table(spark, d, "serving_patent", "pub_no", "abstract").where("char_length(abstract) >= 12").distinct()
-    heads = F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", r"\s+", " "), F.lit(r"(?:^|[.!?] )(\S+ \S+ \S+)"), F.lit(1))))
-    keyed = docs.withColumn("head", heads)
-    wanted = patents.withColumn("head", F.regexp_extract("abstract", r"^(\S+ \S+ \S+)", 1)).where("head != ''")
-    return keyed.join(wanted, "head").withColumn("at", textual.quote_at("text", "abstract")).where("at >= 0").select("doc_id", "pub_no", "at").distinct()
+    return textual.quotes(docs, patents, "doc_id", "text", "pub_no", "abstract")
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -174,3 +175,15 @@ def test_state_machines(spark, tmp_path):
     stored = P.read(spark, str(tmp_path / "in"), df)
     P.store(stored.withColumn("p", F.col("o") % 2), str(tmp_path / "st"), str(tmp_path / "log")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "st")).count() == 7
+
+
+def test_quotes_anywhere_against_brute_force(spark):
+    quotes = [("P1", "Unit costs fell by a third."), ("P2", "Тендер на  поставку радаров"), ("P3", "調達契約は防衛省が公告した装備品である"), ("P4", "Unit costs"), ("P5", "Unit costs fell by a third."), ("P6", "x" * 200), ("P7", None), ("P8", "")]
+    texts = [(1, "NEWS\nunit costs  fell by a third. More"), (2, 'He said: "Unit costs fell by a third."'), (3, "Рынок: тендер на поставку радаров объявлен"), (4, "本日、調達契約は防衛省が公告した装備品である。"), (5, None), (6, ""), (None, "(Unit costs fell"), (7, "y" + "x" * 300)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    wanted = spark.createDataFrame(quotes, "pub_no string, abstract string")
+    squeeze = lambda t: re.sub(r"\s+", " ", t.lower())
+    want = {(i, p, squeeze(t).index(squeeze(q))) for i, t in texts if t for p, q in quotes if q and squeeze(q) in squeeze(t)}
+    got = [tuple(r) for r in textual.quotes(docs, wanted, "doc_id", "text", "pub_no", "abstract").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert textual.quotes(docs, wanted.limit(0), "doc_id", "text", "pub_no", "abstract").count() == 0
