@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .names import GIVEN, fold, phonetic
 
 SAMPLE = 8000
+#: Share of the distinct texts learned from in which a capitalised word that is no family name there counts as common.
+OFTEN = 0.005
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 # The decimal digits and signs of other scripts, each as its plain form.
 PLAIN = {ord(c): str(unicodedata.digit(c)) for c in map(chr, range(0x660, 0x110000)) if unicodedata.category(c) == "Nd" and unicodedata.digit(c, -1) >= 0}
@@ -254,10 +256,10 @@ _SMALL = set("was said told who joined the and for has will from with that inspe
 class Model:
     """What stands around full names: counts of the characters on both sides, of full names and of any capitalised words."""
 
-    def __init__(self) -> None:
+    def __init__(self, texts: int = 0) -> None:
         self.name: Counter = Counter()
         self.every: Counter = Counter()
-        self.often = 40
+        self.often = max(40, texts * OFTEN)
 
     def learn(self, text: str) -> None:
         s = plain(text)
@@ -278,8 +280,10 @@ class Model:
             left, right = _context(even, a, e)
             for key in (("l", left), ("r", right), ("b", left[-6:] + "\0" + right[:5])):
                 self.every[key] += 1
+        families = {p.lower() for _, _, fs, _ in full for f in fs for p in [f, *f.split("-")]}
         for w in {*_ONE.findall(s)}:
-            self.every[("w", w)] += 1
+            if w.lower() not in families:
+                self.every[("w", w)] += 1
 
     def settle(self, least: int = 4) -> dict[tuple[str, str], float]:
         """The log-odds of a name for each surrounding seen with full names often enough."""
@@ -362,12 +366,12 @@ def names(s: str, taken: list[tuple[int, int, str]], around: dict, odd: bool, ev
         if e - a < 4 or full[a]:
             continue
         w = m[0]
-        if w in common or w in _NOT_NAME or w in FIRM:
+        if w in _NOT_NAME or w in FIRM:
             continue
         if w.lower() in fold_of or "-" in w and w.split("-")[0].lower() in fold_of:
             if 1 not in full[a:e] and not firm(e) and s[max(0, a - 1) : a] not in ("@", ".", "-", "_"):
                 add(a, e)
-        elif not odd and not _MORE.match(s, e) and ((left := _LAST.search(s, max(0, a - 30), a)) is None or left[1] in common):
+        elif not odd and w not in common and not _MORE.match(s, e) and ((left := _LAST.search(s, max(0, a - 30), a)) is None or left[1] in common):
             if score(a, e) > 3.2 and not is_given(w) and not firm(e):
                 add(a, e)
                 fold_of.add(w.lower())
@@ -401,7 +405,6 @@ _SMALL_RUN, _CAPITAL_RUN = re.compile(rf"[a-zß-öø-ÿ{_C}]{{3,}}"), re.compile
 def fit(rows: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> dict[tuple[str, str], float]:
     """The surroundings of names, learned on about `sample` rows chosen by a hash of the text."""
     texts = rows.select(F.col(text_column).alias("text")).where("text is not null and text != ''")
-    n = texts.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model()
@@ -414,9 +417,11 @@ def fit(rows: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> dic
             names=["side", "around", "named", "n"],
         )
 
+    texts = texts.distinct()
+    n = texts.count()
     drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1)))) if n > sample else texts
     sums = drawn.mapInArrow(run, "side string, around string, named long, n long").groupBy("side", "around").agg(F.sum("named").alias("named"), F.sum("n").alias("n"))
-    model = Model()
+    model = Model(min(n, sample))
     for r in sums.where("named >= 4 or n >= 16").collect():  # bounded by the sample
         model.name[(r.side, r.around)], model.every[(r.side, r.around)] = r.named, r.n
     return model.settle()

@@ -51,3 +51,13 @@ def test_frame_edges(spark):
     shown = {r.doc_id: r.text for r in P.rewritten(df, {"email": "[EMAIL]", "person_name": "[NAME]"}).collect()}
     assert shown[1] == "Write to [NAME] at [EMAIL]." and shown[2] is None and shown[3] == ""
     assert P.located(df.limit(0)).count() == 0
+
+
+def test_family_name_of_a_full_form_is_found_however_often_it_stands(spark):
+    texts = [f"Report {i}. Elizabeth Padun spoke in town. Later that day Padun left." for i in range(60)]
+    copies = ["Walter Bakonu came. Then Bakonu went."] * 60
+    df = spark.createDataFrame([*enumerate(texts + copies)], "doc_id int, text string")
+    around = P.fit(df)
+    assert "Report" in around[("w", "")] and "Padun" not in around[("w", "")] and "Then" not in around[("w", "")]
+    assert P.located(df, around=around).count() == 240
+    assert P.find(texts[0], {("w", ""): frozenset(["Padun"])}) == P.find(texts[0], {})
