@@ -3,7 +3,7 @@
 E-mail addresses, telephone numbers, numbers issued to persons and postal addresses are found by their forms, ambiguous
 numbers by the nearest telling word before them. Names of persons are found by given names, initials and titles beside a
 family name; a family name that stands alone is taken where the text has it in a fuller form, or where the characters
-around it are such as full names have around them in a bounded sample of the texts (`SAMPLE` rows, by hash).
+around it are such as full names have around them in the distinct texts (all of them are counted).
 
 Each place can be replaced by the placeholder of its kind, or by a surrogate: a keyed hash of the folded value chooses a
 given name of the same gender, a family name of the same script, or digits and letters of the same format. Equal values get
@@ -25,9 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.materialize import materialize, release
 from .names import GIVEN, fold, phonetic
 
-SAMPLE = 8000
+#: Share of the distinct texts that surroundings must stand with full names in to be known, four at least. It bounds what the
+#: driver and the workers hold; up to 100,000 distinct texts four are enough.
+LEAST = 4e-5
+#: Surroundings counted in a task before they are handed on.
+HELD = 200_000
 #: Share of the distinct texts learned from in which a capitalised word that is no family name there counts as common.
 OFTEN = 0.005
 KINDS = ("email", "phone", "id_number", "address", "person_name")
@@ -402,29 +407,37 @@ def find(text: str | None, around: dict[tuple[str, str], float]) -> list[tuple[i
 _SMALL_RUN, _CAPITAL_RUN = re.compile(rf"[a-zß-öø-ÿ{_C}]{{3,}}"), re.compile(rf"[A-ZÀ-ÖØ-Þ{_CU}]{{4,}}")
 
 
-def fit(rows: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> dict[tuple[str, str], float]:
-    """The surroundings of names, learned on about `sample` rows chosen by a hash of the text."""
-    texts = rows.select(F.col(text_column).alias("text")).where("text is not null and text != ''")
+def fit(rows: DataFrame, text_column: str = "text") -> dict[tuple[str, str], float]:
+    """The surroundings of names, counted over all distinct texts."""
+    texts = rows.select(F.col(text_column).alias("text")).where("text is not null and text != ''").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model()
+
+        def counts() -> pa.RecordBatch:
+            keys = [*model.every]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([model.name[k] for k in keys], pa.int64()), pa.array([model.every[k] for k in keys], pa.int64())],
+                names=["side", "around", "named", "n"],
+            )
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 model.learn(t)
-        keys = [*model.every]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([model.name[k] for k in keys], pa.int64()), pa.array([model.every[k] for k in keys], pa.int64())],
-            names=["side", "around", "named", "n"],
-        )
-
-    texts = texts.distinct()
-    n = texts.count()
-    drawn = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1)))) if n > sample else texts
-    sums = drawn.mapInArrow(run, "side string, around string, named long, n long").groupBy("side", "around").agg(F.sum("named").alias("named"), F.sum("n").alias("n"))
-    model = Model(min(n, sample))
-    for r in sums.where("named >= 4 or n >= 16").collect():  # bounded by the sample
+                model.every[("n", "")] += 1
+                if len(model.every) > HELD:
+                    yield counts()
+                    model = Model()
+        yield counts()
+
+    sums = materialize(texts.mapInArrow(run, "side string, around string, named long, n long").groupBy("side", "around").agg(F.sum("named").alias("named"), F.sum("n").alias("n")))
+    total = sums.where("side = 'n'").agg(F.sum("n")).first()[0] or 0
+    model, least = Model(total), max(4, math.ceil(total * LEAST))
+    kept = F.when(F.col("side") == "w", F.col("n") >= model.often).otherwise((F.col("side") != "n") & ((F.col("named") >= least) | (F.col("n") >= 4 * least)))
+    for r in sums.where(kept).collect():  # bounded by the shares
         model.name[(r.side, r.around)], model.every[(r.side, r.around)] = r.named, r.n
-    return model.settle()
+    release(sums)
+    return model.settle(least)
 
 
 def located(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", around: dict[tuple[str, str], float] | None = None) -> DataFrame:

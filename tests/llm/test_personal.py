@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+
 import pytest
 
 from tessella.llm import personal as P
@@ -61,3 +63,15 @@ def test_family_name_of_a_full_form_is_found_however_often_it_stands(spark):
     assert "Report" in around[("w", "")] and "Padun" not in around[("w", "")] and "Then" not in around[("w", "")]
     assert P.located(df, around=around).count() == 240
     assert P.find(texts[0], {("w", ""): frozenset(["Padun"])}) == P.find(texts[0], {})
+
+
+def test_surroundings_are_counted_over_all_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(P, "HELD", 50)
+    names = ["".join(c) for c in itertools.product("bdfgk", "aeiou", "lmnrs", "aeiou")]
+    texts = [f"Item {i}. The report was signed by Elizabeth {names[i % 600].capitalize()}nu on day {i}." for i in range(4)]
+    filler = [f"item {i} has nothing." for i in range(40_000)]
+    df = spark.createDataFrame([*enumerate(texts + filler + [texts[0]] * 50)], "doc_id int, text string")
+    around = P.fit(df)
+    assert ("l", "gned by ") in around
+    other = spark.createDataFrame([*enumerate(texts[:3] + filler + [texts[0]] * 50)], "doc_id int, text string")
+    assert ("l", "gned by ") not in P.fit(other)
