@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -31,7 +31,7 @@ from ..operators.materialize import materialize
 RUN = 12
 ENTRIES, WIDTH = 80, 3
 BITS, LEAST = 79, 2
-#: Postings above this are paired by way of a pivot row.
+#: Postings above this are paired in blocks of about so many rows each.
 HOT = 2000
 SEED = 20240229
 
@@ -132,12 +132,23 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(_verify, "a long, b long, likeness double").where(F.col("likeness") >= threshold)
 
 
-def _pairs(left: DataFrame, right: DataFrame, strict: bool) -> DataFrame:
-    """Pairs of one posting whose low bits agree often enough."""
+def _pairs(left: DataFrame, right: DataFrame, also: Column | None = None) -> DataFrame:
+    """Pairs of one posting whose low bits agree often enough; `also` is a further condition on the sides l and r."""
     agree = 128 - F.bit_count(F.col("l.s1").bitwiseXOR(F.col("r.s1"))) - F.bit_count(F.col("l.s2").bitwiseXOR(F.col("r.s2")))
-    order = F.col("l.rid") < F.col("r.rid") if strict else F.col("l.rid") != F.col("r.rid")
-    both = left.alias("l").join(right.alias("r"), (F.col("l.entry") == F.col("r.entry")) & order & (agree >= BITS))
-    return both.select(F.least("l.rid", "r.rid").alias("a"), F.greatest("l.rid", "r.rid").alias("b"), F.col("l.entry").alias("entry"))
+    same = F.col("l.entry") == F.col("r.entry")
+    both = left.alias("l").join(right.alias("r"), (same if also is None else same & also) & (F.col("l.rid") < F.col("r.rid")) & (agree >= BITS))
+    return both.select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b"), F.col("l.entry").alias("entry"))
+
+
+def _blocks(warm: DataFrame) -> DataFrame:
+    """The pairs of full postings (`warm` has the rows n of each): every row is sent to the cells of its block with each block."""
+    count = F.ceil(F.col("n") / HOT).cast("int")
+    cut = warm.withColumn("count", count).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("count")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("count") - 1))
+    rows = cut.select("rid", "s1", "s2", "entry", "block", every.alias("other"))
+    left = rows.select("rid", "s1", "s2", "entry", F.col("block").alias("one"), F.col("other").alias("two"))
+    right = rows.select("rid", "s1", "s2", "entry", F.col("other").alias("one"), F.col("block").alias("two"))
+    return _pairs(left, right, (F.col("l.one") == F.col("r.one")) & (F.col("l.two") == F.col("r.two")))
 
 
 def near_duplicates(rows: DataFrame, id_column: str = "document_id", text_column: str = "text", threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -148,27 +159,22 @@ def near_duplicates(rows: DataFrame, id_column: str = "document_id", text_column
     once normalised share one rid and are compared once; a repeated id stands as often as it was given. Other columns are
     ignored, whatever their names. Texts shorter than a run have themselves as their only feature.
 
-    A posting of more than `HOT` rows is paired with its least row first. Rows verified as like that row are one class
-    already, so only the remaining rows are paired with the whole posting; no link between classes is lost by it.
+    A posting of more than `HOT` rows is cut into blocks by a hash of the row, and each two blocks are paired by a task of
+    their own, so links are whole at every size: their number grows with the square of a class of differing texts.
     """
     source = rows.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"))
     signed = materialize(source.mapInArrow(_sign, "id string, rid long, text string, entries array<long>, s1 long, s2 long"))
     one = signed.select("rid", "entries", "s1", "s2").dropDuplicates(["rid"])
     index = materialize(one.select("rid", "s1", "s2", F.explode("entries").alias("entry")))
-    hot = materialize(index.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("pivot")).where(F.col("n") > HOT))
+    hot = materialize(index.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT))
     texts = signed.groupBy("rid").agg(F.min("text").alias("text"))
     if hot.isEmpty():
-        tally, star = _pairs(index, index, True), None
+        tally = _pairs(index, index)
     else:
         cold = index.join(hot, "entry", "left_anti")
-        warm = index.join(hot, "entry")
-        spokes = warm.where("rid != pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct()
-        star = materialize(verified(spokes, texts, threshold))
-        rest = warm.where("rid != pivot").join(star.select(F.col("a").alias("pivot"), F.col("b").alias("rid")), ["pivot", "rid"], "left_anti").select("rid", "s1", "s2", "entry")
-        tally = _pairs(cold, cold, True).union(_pairs(rest, warm.select("rid", "s1", "s2", "entry"), False).distinct())
+        tally = _pairs(cold, cold).union(_blocks(index.join(hot, "entry")))
     shared = tally.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
-    links = verified(shared.select("a", "b"), texts, threshold)
-    links = materialize(links if star is None else links.union(star).groupBy("a", "b").agg(F.max("likeness").alias("likeness")))
+    links = materialize(verified(shared.select("a", "b"), texts, threshold))
     classes = components(links).withColumnRenamed("node", "rid")
     members = signed.select("id", "rid").join(classes, "rid", "left").select("id", "rid", F.coalesce("component", "rid").alias("class_id"))
     return members, links

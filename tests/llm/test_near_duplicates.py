@@ -58,3 +58,14 @@ def test_edge_cases(spark):
     long = "lorem ipsum dolor sit amet " * 40_000
     df = spark.createDataFrame([("a", long), ("b", long + "x"), ("b", long + "x"), (None, long)], "document_id string, text string")
     assert [tuple(r) for r in nd.duplicate_pairs(nd.near_duplicates(df)[0]).collect()] == [("a", "b")]
+
+
+def test_links_are_whole_in_full_postings(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HOT", 2)
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    texts = {f"d{i:02d}": " ".join([*base[:i], f"changed{i}", *base[i + 1 :]]) for i in range(30)}
+    df = spark.createDataFrame([*texts.items()], "document_id string, text string")
+    members, links = nd.near_duplicates(df)
+    assert {r.document_id: r.n_links for r in nd.duplicate_classes(members, links).collect()} == {k: 29 for k in texts}
+    assert links.count() == 30 * 29 // 2
