@@ -354,7 +354,7 @@ def names(s: str, taken: list[tuple[int, int, str]], around: dict, odd: bool, ev
             if e - a > 3 and not before.isalnum() and not 1 in full[a:e] and m[1] not in _NOT_NAME and not firm(e):
                 add(a, e)
                 families.add(m[1])
-    elif s[:200].upper() == s[:200]:  # capitals only: the surroundings must be known
+    elif _CAPS.search(s):  # odd by its counts over the whole text, so of capitals: the surroundings must be known
         for m in _INITIAL_FAMILY.finditer(s):
             a, e = m.span()
             if e - m.start(2) >= 4 and 1 not in full[a:e] and not firm(e) and score(a, e) > 1.5:

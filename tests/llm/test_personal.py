@@ -75,3 +75,9 @@ def test_surroundings_are_counted_over_all_distinct_texts(spark, monkeypatch):
     assert ("l", "gned by ") in around
     other = spark.createDataFrame([*enumerate(texts[:3] + filler + [texts[0]] * 50)], "doc_id int, text string")
     assert ("l", "gned by ") not in P.fit(other)
+
+
+def test_text_of_capitals_with_small_letters_at_its_start():
+    text = "mail ab@nobi.example\n" + "THE REPORT WENT ROUND AND STAYED THERE. " * 5 + "IT WAS SIGNED BY J. LOMADUN TODAY."
+    found = [text[a:e] for a, e, k in P.find(text, {("l", "gned by "): 2.0}) if k == "person_name"]
+    assert found == ["J. LOMADUN"]
