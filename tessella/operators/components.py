@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .materialize import materialize, release
@@ -24,6 +24,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and their number and sum of hashes, counted while they are written."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")))
+    return out, (seen.get["n"], seen.get["hash"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node", component: str = "component", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the least node joined with it.
 
@@ -33,20 +40,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", node: str = "node",
     Raises RuntimeError where `rounds` do not suffice.
     """
     kind = edges.select(a).schema[0].dataType
-    now = materialize(
+    now, mark = _written(
         edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a != b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    mark = None
-    for _ in range(rounds):
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark or not row[0]:
-            break
-        mark = tuple(row)
-        after = materialize(_small_star(_large_star(now)))
+    for _ in range(rounds if mark[0] else 0):
+        after, new = _written(_small_star(_large_star(now)))
         release(now)
-        now = after
+        now, same, mark = after, new == mark, new
+        if same:
+            break
     else:
-        raise RuntimeError(f"components: not stable after {rounds} rounds")
+        if mark[0]:
+            raise RuntimeError(f"components: not stable after {rounds} rounds")
     star = now.select(F.col("a").alias(node), F.col("b").alias(component))
     return star.union(now.select(F.col("b").alias(node), F.col("b").alias(component)).distinct()).withColumn(node, F.col(node).cast(kind))
