@@ -1,65 +1,148 @@
 """Joins of words within an edit distance, by partitioning the metric space around pivots.
 
-A point is a word in a named space. The metric is the edit distance of the words where space and first letter agree, and
-greater than every radius where either differs (the sum of the edit distance and two discrete metrics is a metric). By
-the triangle inequality points of different space or first letter are never joined, so these two cut the space into
-components for nothing. A component gets pivots, one for about `CELL` of its points; each point has its home in the cell
-of its nearest pivot and is also sent to every cell whose pivot is no farther than the nearest one plus twice the radius,
-beyond which no partner of it can have its home. In each cell homes meet members, under the true edit distance.
+A point is a word in a named space. The metric is the edit distance of the words, plus `APART` where the spaces differ (the
+sum of two metrics is a metric); `APART` is beyond every radius, so points of two spaces are never joined, and every space
+that holds a point has pivots of its own, so nearest pivots lie in the point's own space.
+
+Pivots are points drawn by hash, one for about `CELL` points of a space, at most `FAN` a step. A point has its home in the
+cell of its nearest pivot and is copied to each cell a partner may have its home in: by the triangle inequality those whose
+pivot is no farther than the nearest one plus twice the point's radius, and no farther than the cell's own reach plus the
+radius. Cells above `CELL` get pivots of their own in the next step, so a point meets `FAN` pivots a step however many there
+are. A cell that a step does not make lighter (its words lie evenly apart) is cut into blocks of homes by hash instead, and
+its members are sent to each block. In a cell homes meet members whose distances to the pivot differ by the radius at most,
+under the true edit metric.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.materialize import materialize
+from ..operators.materialize import materialize, release
 
-#: Points of a component for each further pivot, about.
-CELL = 4000
+#: Points of a cell beyond which it gets pivots of its own, and the most pivots of one step.
+CELL, FAN = 64, 4
+#: Steps at most; what is still above `CELL` then is cut into blocks.
+STEPS = 6
+#: Pairs a task looks at, about.
+PAIRS = 2_000_000
+#: Distance of two spaces.
+APART = 1000
 #: The greatest radius, of long words.
 RADIUS = 3
 
 
+@dataclass
+class Partition:
+    """What the partition was made of, for tests and reports."""
+
+    cells: int = 0
+    points: int = 0
+    copies: int = 0
+    largest: int = 0
+
+
 def radius(length: Column) -> Column:
     """The radius by the shorter word's length: 0 below 4 letters, 1 below 6, 2 below 9, then 3."""
     return F.when(length < 4, 0).when(length < 6, 1).when(length < 9, 2).otherwise(RADIUS)
 
 
-def _cells(points: DataFrame, pivots: DataFrame) -> DataFrame:
-    """points with `cell` and `home` for each cell they belong to."""
-    far = points.join(pivots, "part").withColumn("d", F.levenshtein("word", "pivot"))
-    nearest = far.groupBy("part", "space", "word").agg(F.min(F.struct("d", "pivot")).alias("least"))
-    both = far.join(nearest, ["part", "space", "word"])
-    reach = F.col("d") <= F.col("least.d") + 2 * RADIUS
-    return both.where(reach).select("part", "space", "word", F.col("pivot").alias("cell"), (F.col("pivot") == F.col("least.pivot")).alias("home"))
+def _distance(points: DataFrame, pivots: DataFrame) -> DataFrame:
+    """points joined with the pivots of their own space within their cell, with the distance d to each."""
+    return points.join(pivots, ["cell", "space"]).withColumn("d", F.levenshtein("word", "pivot"))
+
+
+def _step(points: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The points of `heavy` cells (cell, space, n) in the cells of new pivots: home, and copies where a partner may be at home."""
+    mine = points.join(heavy, ["cell", "space"])
+    drawn = mine.where("home").select("cell", "space", "word", "n").distinct()
+    take = F.least(F.lit(FAN), F.ceil(F.col("n") / CELL) + 1)
+    pick = F.pmod(F.xxhash64("word", "cell"), F.col("n")) < 2 * take
+    least = drawn.groupBy("cell", "space").agg(F.expr("min_by(word, xxhash64(word, cell))").alias("pivot"))
+    ranked = drawn.where(pick).groupBy("cell", "space").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("word").alias("h"), "word"))), 1, FAN).alias("few"))  # about 2 * FAN words
+    pivots = materialize(ranked.select("cell", "space", F.explode("few.word").alias("pivot")).union(least).distinct())
+    far = _distance(mine.drop("n", "d"), pivots)
+    nearest = far.groupBy("cell", "space", "word", "is_left", "is_right", "home").agg(F.min(F.struct("d", "pivot")).alias("least"), F.collect_list(F.struct("d", "pivot")).alias("every"))
+    cut = materialize(nearest)
+    reach = cut.where("home").groupBy("cell", "space", F.col("least.pivot").alias("pivot")).agg(F.max("least.d").alias("reach"))
+    out = cut.withColumn("x", F.explode("every")).withColumn("pivot", F.col("x.pivot")).join(reach, ["cell", "space", "pivot"])
+    near = (F.col("x.d") <= F.col("least.d") + 2 * radius(F.length("word"))) & (F.col("x.d") <= F.col("reach") + radius(F.length("word")))
+    here = F.col("pivot") == F.col("least.pivot")
+    placed = materialize(
+        out.where(here | near & F.col("is_right"))
+        .select(F.xxhash64("cell", "space", "pivot").alias("cell"), "space", "word", "is_left", "is_right", (F.col("home") & here).alias("home"), F.col("x.d").alias("d"))
+        .where("home or is_right")
+    )
+    release(pivots)
+    release(cut)
+    return placed
+
+
+def _weights(points: DataFrame) -> DataFrame:
+    """Pairs each cell will look at: homes of the left times members of the right."""
+    return points.groupBy("cell", "space").agg(F.count_if(F.expr("home and is_left")).alias("homes"), F.count_if("is_right").alias("members"), F.count_if("home").alias("n"))
+
+
+def _grams(word: Column) -> Column:
+    """A bit for each two neighbouring letters: an edit changes four bits at most, so more than four for each edit rule a pair out."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
+    return F.aggregate(at, F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.substr(word, i, F.lit(2))), F.lit(63)).cast("int"))))
+
+
+def partitioned(left: DataFrame, right: DataFrame) -> tuple[DataFrame, int]:
+    """(cell, space, word, is_left, is_right, home, d) of the words of both sides, and the number of points."""
+    tidy = lambda df, one, two: df.select("space", "word").where("space is not null and word != ''").select("space", "word", F.lit(one).alias("l"), F.lit(two).alias("r"))
+    both = tidy(left, True, True) if left is right else tidy(left, True, False).union(tidy(right, False, True))
+    points = both.groupBy("space", "word").agg(F.max("l").alias("is_left"), F.max("r").alias("is_right"))
+    # the first step: each space is a cell of its own, since pivots of other spaces are APART
+    points = materialize(points.select(F.xxhash64("space").alias("cell"), "space", "word", "is_left", "is_right", F.lit(True).alias("home"), F.lit(0).alias("d")))
+    total, done = points.count(), []
+    for step in range(STEPS):
+        heavy = materialize(_weights(points).where((F.col("n") > CELL) & (F.col("members") > 0) & (F.col("homes") > 0)).select("cell", "space", "n", F.expr("homes * members").alias("pairs")))
+        if heavy.isEmpty():
+            break
+        done.append(points.join(heavy, ["cell", "space"], "left_anti"))
+        placed = _step(points, heavy.select("cell", "space", "n"))
+        before, after = (x or 0 for x in (heavy.agg(F.sum("pairs")).first()[0], _weights(placed).agg(F.sum(F.expr("homes * members"))).first()[0]))
+        points = placed
+        if after > 0.85 * before:  # pivots help no further: what is still heavy is cut into blocks
+            break
+    done.append(points)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return materialize(out), total
+
+
+def described(points: DataFrame, total: int) -> Partition:
+    """What a partition of `total` points looks like."""
+    info = _weights(points).agg(F.count(F.lit(1)).alias("cells"), F.max("members").alias("largest")).first()
+    return Partition(info.cells or 0, total, points.count() - total, info.largest or 0)
 
 
-def within_radius(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (space, a, b, distance) of different words of `left` and `right` (both: space, word) within their radius.
+def within_radius(left: DataFrame, right: DataFrame, most: int = RADIUS) -> DataFrame:
+    """Pairs (space, a, b, distance) of different words of `left` and `right` (both: space, word) within their radius, and `most`.
 
     Each pair stands once, also where both sides hold both words in turn: a is of `left`, b of `right`; with one frame on
-    both sides a pair stands in both orders. Null or empty words match nothing; repeated points count once. A very full
-    component is cut by its pivots, whose number grows with it; where distances lie close together most points are sent to
-    many cells, which costs work but no pair.
+    both sides a pair stands in both orders. Null or empty words match nothing; repeated points count once.
     """
-    part = F.concat_ws("|", "space", F.substring("word", 1, 1))
-    tidy = lambda df: materialize(df.select("space", "word").where("space is not null and word != ''").distinct().withColumn("part", part))
-    one = tidy(left)
-    two = one if left is right else tidy(right)
-    counts = one.select("part").union(two.select("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    full = materialize(counts.where(F.col("n") > CELL).select("part"))
-    plain = lambda df: df.select("part", "space", "word", F.lit("").alias("cell"), F.lit(True).alias("home"))
-    if full.isEmpty():
-        homes, members = plain(one), plain(two)
-    else:
-        candidates = two.join(full, "part")
-        pivots = candidates.where(F.pmod(F.xxhash64("word"), F.lit(CELL)) == 0).select("part", F.col("word").alias("pivot"))
-        pivots = materialize(pivots.union(candidates.groupBy("part").agg(F.min("word").alias("pivot"))).distinct())
-        homes = plain(one.join(full, "part", "left_anti")).unionByName(_cells(one, pivots).where("home"))
-        members = plain(two.join(full, "part", "left_anti")).unionByName(_cells(two, pivots))
-    d = F.levenshtein(F.col("l.word"), F.col("r.word"), RADIUS)
-    close = (F.col("l.part") == F.col("r.part")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.word") != F.col("r.word"))
-    short = F.abs(F.length("l.word") - F.length("r.word")) <= RADIUS
-    joined = homes.alias("l").join(members.alias("r"), close & short & d.between(1, radius(F.least(F.length("l.word"), F.length("r.word")))))
-    return joined.select(F.col("l.space").alias("space"), F.col("l.word").alias("a"), F.col("r.word").alias("b"), d.alias("distance"))
+    points, _ = partitioned(left, right)
+    sizes = materialize(_weights(points).where("homes > 0 and members > 0").select("cell", "space", "homes", F.expr("homes * members").alias("pairs")))
+    pairs = sizes.agg(F.sum("pairs")).first()[0] or 0
+    # heavy cells in blocks of homes, each of which meets all members; tasks by the pairs they look at, not by bytes
+    blocks = sizes.select("cell", "space", F.ceil(F.col("homes") / (4 * CELL)).cast("int").alias("blocks"))
+    r = F.least(radius(F.length("word")), F.lit(most))
+    told = points.join(blocks, ["cell", "space"]).withColumns({"n": F.length("word"), "r": r, "grams": _grams(F.col("word"))})
+    tasks = max(1, min(20_000, math.ceil(pairs / PAIRS)))
+    homes = told.where("home and is_left").withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")).repartition(tasks, "cell", "space", "block")
+    members = told.where("is_right").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).repartition(tasks, "cell", "space", "block")
+    near = F.least("l.r", "r.r")
+    same = (F.col("l.cell") == F.col("r.cell")) & (F.col("l.space") == F.col("r.space")) & (F.col("l.block") == F.col("r.block"))
+    cheap = (F.abs(F.col("l.n") - F.col("r.n")) <= near) & (F.abs(F.col("l.d") - F.col("r.d")) <= near) & (F.bit_count(F.col("l.grams").bitwiseXOR(F.col("r.grams"))) <= 4 * near)
+    d = F.levenshtein(F.col("l.word"), F.col("r.word"), most)
+    joined = homes.alias("l").join(members.alias("r"), same & cheap & (F.col("l.word") != F.col("r.word")))
+    found = joined.select(F.col("l.space").alias("space"), F.col("l.word").alias("a"), F.col("r.word").alias("b"), d.alias("distance"), near.alias("near"))
+    return materialize(found.where("distance between 0 and near").drop("near"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
@@ -29,38 +28,6 @@ FORM = {
 }
 _FORM_ORDER = ["sl", "ltda", "spzoo", "spa", "gmbh", "sa", "oy", "as", "pvt", "inc", "co", "ltd"]
 
-# Words of each line of business, in several languages and shortened.
-BUSINESS = {
-    "forge works": "forge forges forjas works wks wrks schmiedewerke schmiede",
-    "robotics": "robotics rbtcs robot robotik robotique robotica",
-    "systems": "systems sys syst systeme systemes sistemas",
-    "electronics": "electronics elec electr electronique electronica elektronik",
-    "shipyards": "shipyards shipyard shpyds shipyd astilleros werften werft chantiers navals",
-    "armoured vehicles": "armoured armd vehicles veh vehs panzerfahrzeuge vehiculos blindados vehicules blindes",
-    "steel industries": "steel stl industries ind inds stahlindustrie industrias siderurgicas acieries",
-    "marine engineering": "marine mar engineering eng engg schiffstechnik genie maritime ingenieria naval",
-    "munitions": "munitions mun munit municiones munitionswerke",
-    "avionics": "avionics avion avncs avionik avionique avionica",
-    "composites": "composites comp composit verbundstoffe compuestos",
-    "dynamics": "dynamics dynam dyn dynamik dynamique dinamica",
-    "optics": "optics opt optcs optik optique optica",
-    "radar technologies": "radar rdr technologies technol tech radartechnik tecnologias",
-    "propulsion": "propulsion prop propuls propulsions antriebe",
-}
-
-# Given names and the short and pet forms that stand for them.
-GIVEN = {
-    "alexander": "alex sandy sasha xander al", "thomas": "tom tommy", "farida": "", "james": "jim jimmy jamie", "giuseppe": "beppe peppe pino",
-    "natalia": "natasha nata", "jeanluc": "", "william": "bill will billy liam", "vivian": "viv", "ursula": "uschi ulla", "edward": "ned ted ed eddie teddy",
-    "mehmet": "memo", "elizabeth": "liz beth betty lizzie eliza", "heinrich": "heinz heiner", "michael": "mike mick mickey", "lakshmi": "", "dorota": "dora dorotka",
-    "chiara": "", "francisco": "paco pancho curro", "vladimir": "volodya vova", "oluwaseun": "seun", "walter": "wally walt", "yusuf": "", "richard": "rick dick rich ricky",
-    "christopher": "chris kit", "deborah": "debbie deb debby", "susanna": "sue susie susan", "bjorn": "", "johannes": "hans hannes", "margaret": "maggie meg peggy",
-    "rajesh": "raj", "katherine": "kate kathy katie kat", "robert": "bob rob bobby", "ingrid": "inge", "penelope": "penny", "soren": "", "emilie": "", "zoltan": "zoli",
-    "quentin": "", "ayse": "", "joseph": "joe", "anthony": "tony", "charles": "charlie chuck", "patricia": "pat patty", "andrew": "andy drew", "daniel": "dan danny",
-    "samuel": "sam", "benjamin": "ben", "nicholas": "nick", "stephen": "steve", "matthew": "matt", "maria": "", "ivan": "vanya", "olga": "olya", "sergei": "seryozha",
-}
-
-
 def phonetic(word: str) -> str:
     """Spelling differences between scripts taken out: c as k (not in ch), w as v, doubled forms of the same sound."""
     return re.sub("c(?!h)", "k", word).replace("w", "v").replace("ph", "f").replace("q", "k").replace("x", "ks")
@@ -72,10 +39,6 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)).translate(LETTERS)
 
 
-_BUSINESS = {phonetic(w): code for code, words in BUSINESS.items() for w in words.split()}
-_GIVEN = {phonetic(w): phonetic(name) for name, more in GIVEN.items() for w in [name, *more.split()]}
-_LONG_GIVEN = [w for w in _GIVEN if len(w) >= 5]
-_LONG_BUSINESS = [w for w in _BUSINESS if len(w) >= 7]
 _LEGAL, _TITLES = {phonetic(w) for w in LEGAL} | LEGAL, {phonetic(w) for w in TITLES} | TITLES
 #: Digits read for letters.
 _READ = str.maketrans("015384", "oiseba")
@@ -110,71 +73,91 @@ def near(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
-@functools.lru_cache(maxsize=200_000)
-def _given_like(word: str) -> str | None:
-    if len(word) >= 4:
-        for w in _LONG_GIVEN:
-            if w[0] == word[0] and near(word, w, 2 if len(w) >= 8 else 1):
-                return _GIVEN[w]
-        for w in _LONG_GIVEN:  # neighbours exchanged
-            if len(w) == len(word) and sorted(w) == sorted(word) and near(word, w, 2):
-                return _GIVEN[w]
-    return None
-
-
-@functools.lru_cache(maxsize=200_000)
-def _business_like(word: str) -> str | None:
-    if len(word) >= 6:
-        for w in _LONG_BUSINESS:
-            if near(word, w, 1):
-                return _BUSINESS[w]
-    return None
-
+class Lexicon:
+    """Words that many names have: those of a line of business and given names, each with the class they belong to.
 
-def parse(name: str | None) -> dict:
-    """kind: 'f' firm, 'p' person, 'i' initials and one word (either), 'a' short form only, '' nothing usable.
-
-    head: a firm's own words without blanks, or a person's family name; tail: a firm's last own word where there are two;
-    business, given, initials, short, legal: as far as they are in the name. Everything is folded and phonetic.
+    Nothing here is a list of the library: the classes are learned (lexicon.py) from names known to mean the same. `pets` adds
+    short forms of given names from a table of the caller's.
     """
-    out = {"kind": "", "head": "", "tail": "", "business": "", "given": "", "initials": "", "short": "", "legal": ""}
+
+    def __init__(self, business: dict[str, str] | None = None, given: dict[str, str] | None = None, pets: dict[str, str] | None = None):
+        self.business = business or {}
+        self.given = {phonetic(fold(k)): phonetic(fold(v)) for k, v in (pets or {}).items()} | (given or {})
+        self._long_given = [w for w in self.given if len(w) >= 5]
+        self._long_business = [w for w in self.business if len(w) >= 7]
+        self._seen: dict[tuple[str, bool], str | None] = {}
+
+    def _like(self, word: str, trade: bool) -> str | None:
+        if trade:
+            return next((self.business[w] for w in self._long_business if near(word, w, 1)), None) if len(word) >= 6 else None
+        if len(word) >= 4:
+            for w in self._long_given:
+                if w[0] == word[0] and near(word, w, 2 if len(w) >= 8 else 1):
+                    return self.given[w]
+            for w in self._long_given:  # neighbours exchanged
+                if len(w) == len(word) and sorted(w) == sorted(word) and near(word, w, 2):
+                    return self.given[w]
+        return None
+
+    def like(self, word: str, trade: bool) -> str | None:
+        """The class of a misspelt word."""
+        key = (word, trade)
+        if key not in self._seen:
+            if len(self._seen) > 200_000:
+                self._seen.clear()
+            self._seen[key] = self._like(word, trade)
+        return self._seen[key]
+
+
+def split(name: str | None) -> tuple[list[str], list[str], str]:
+    """The folded, phonetic words of a name without legal forms and titles, its legal words, and its short form."""
     if not name or not name.strip():
-        return out
-    text = re.sub(r"\s+", " ", name.replace(" ", " ")).strip()
+        return [], [], ""
+    text = re.sub(r"\s+", " ", name.replace("\xa0", " ")).strip()
+    short = ""
     if m := _SHORT.search(text):
         word = m[1] or m[2] or m[3]
         if word.lower() not in LEGAL:
-            out["short"], text = word, text[: m.start()]
+            short, text = word, text[: m.start()]
     if re.fullmatch(r"[A-Z]{2,6}", text) and text.lower() not in LEGAL:
-        return out | {"kind": "a", "short": text}
+        return [], [], text
     low = fold(text)
     for pattern, by in _FORMS:
         low = pattern.sub(by, low)
     low = re.sub(r"(?<=[a-z])[-'](?=[a-z])", "", low)
     words = [phonetic(w.translate(_READ) if not w.isdigit() else w) for w in _WORD.findall(low)]
-    legal = [w for w in words if w in _LEGAL]
-    words = [w for w in words if w not in _LEGAL]
+    return [w for w in words if w not in _LEGAL and w not in _TITLES], [w for w in words if w in _LEGAL], short
+
+
+def parse(name: str | None, lexicon: Lexicon) -> dict:
+    """kind: 'f' firm, 'p' person, 'i' initials and one word (either), 'a' short form only, '' nothing usable.
+
+    head: a firm's own words without blanks, or a person's family name; tail: a firm's last own word where there are two;
+    bag: the own words in alphabetical order where there are two or more and no word of the lexicon tells what they are;
+    business, given, initials, short, legal: as far as they are in the name. Everything is folded and phonetic.
+    """
+    out = {"kind": "", "head": "", "tail": "", "bag": "", "business": "", "given": "", "initials": "", "short": "", "legal": ""}
+    words, legal, out["short"] = split(name)
+    if not words and not legal:
+        return out | ({"kind": "a"} if out["short"] else {})
     forms = {FORM[w] for w in FORM if phonetic(w) in legal}
     out["legal"] = next((f for f in _FORM_ORDER if f in forms), "")
-    titled = [w for w in words if w in _TITLES and w not in _BUSINESS]
-    words = [w for w in words if w not in titled]
-    rest, codes = [], []
-    for w in words:
-        (codes if w in _BUSINESS else rest).append(_BUSINESS.get(w, w))
+    codes = [lexicon.business[w] for w in words if w in lexicon.business]
+    rest = [w for w in words if w not in lexicon.business]
     long = [w for w in rest if len(w) > 1]
     if not codes and len(long) > 1:
         for w in long:
-            if code := _business_like(w):
+            if w not in lexicon.given and (code := lexicon.like(w, True)):
                 codes.append(code)
                 rest.remove(w)
                 break
         long = [w for w in rest if len(w) > 1]
     if codes:
-        out["business"] = codes[0] if codes[0] != "radar technologies" or "marine engineering" not in codes else "marine engineering"
+        out["business"] = max(codes, key=lambda c: (codes.count(c), -codes.index(c)))
     if not codes and len(long) > 1:
-        given = next(((w, _GIVEN[w]) for w in long if w in _GIVEN), None)
+        given = next(((w, lexicon.given[w]) for w in long if w in lexicon.given), None)
         if not given and not legal:
-            given = next(((w, g) for w in long if (g := _given_like(w))), None)
+            given = next(((w, g) for w in long if (g := lexicon.like(w, False))), None)
         if given:
             family = [w for w in long if w != given[0]] or [given[0]]
             out |= {"kind": "p", "given": given[1], "head": "".join(family), "initials": "".join(sorted(w for w in rest if len(w) == 1))}
@@ -184,9 +167,7 @@ def parse(name: str | None) -> dict:
         return out | ({"kind": "a"} if out["short"] else {})
     if single and not codes and not legal and len(long) == 1:
         return out | {"kind": "i", "head": long[0], "initials": "".join(single)}
-    out |= {"kind": "f", "head": "".join(long), "tail": long[-1] if len(long) > 1 else ""}
+    out |= {"kind": "f", "head": "".join(long), "tail": long[-1] if len(long) > 1 else "", "bag": "".join(sorted(long)) if len(long) > 1 and not codes else ""}
     if single and len(long) == 1:
         out |= {"initials": single[0]}
     return out
-
-

@@ -3,6 +3,9 @@ from __future__ import annotations
 from datetime import datetime
 
 from tessella.llm import representative as R
+from tessella.llm.names import Lexicon
+
+WORDS = Lexicon({"optiks": "optiks", "optik": "optiks", "robotiks": "robotiks"})
 
 COLUMNS = "comp_id string, name string, sector string, hq string, site string, country string, starting_year int, company_size string, srcs string, origin string, updated_at timestamp, group_id int"
 
@@ -22,7 +25,7 @@ ROWS = [
 
 def test_winners(spark):
     df = spark.createDataFrame(ROWS, COLUMNS)
-    groups = R.grouped(df)
+    groups = R.grouped(df, WORDS)
     assert {(r.comp_id, r.group_id) for r in groups.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "e"), ("f", "f")}
     won = {(r.group_id, r.field): (r.comp_id, r.value) for r in R.winners(df, groups).collect()}
     assert won == {("a", "name"): ("b", "BAKODRUUNO OPTIK"), ("a", "sector"): ("a", "optics"), ("a", "hq"): ("b", "Lifo"), ("a", "site"): ("a", "http://bakodruno.example"), ("a", "country"): ("b", "France"), ("a", "starting_year"): ("b", "1990"), ("a", "company_size"): ("b", "40+")}
@@ -32,6 +35,16 @@ def test_winners(spark):
     assert R.winners(none, R.grouped(none)).count() == 0
 
 
+def test_votes(spark):
+    """However many weaker rows agree, the best row's value wins; at one level the value with more rows does; in a hot group too."""
+    many = [firm(f"w{i:05d}", "Bakodruno Optics", hq="Weak", srcs="[]") for i in range(3000)]
+    level = [firm(i, "Bakodruno Optics", hq=h, srcs='["https://x.example/1"]', day=5) for i, h in (("k1", "One"), ("k2", "two"), ("k3", " Two "))]
+    df = spark.createDataFrame(many + level, COLUMNS)
+    groups = df.selectExpr("comp_id", "'g' AS group_id", "3003 AS n_rows")
+    won = {r.field: r for r in R.winners(df, groups).collect()}
+    assert (won["hq"].comp_id, won["hq"].votes, round(won["hq"].share, 3)) == ("k2", 2, 0.667)
+
+
 def test_usable(spark):
     from pyspark.sql import functions as F
 
