@@ -1,20 +1,19 @@
 """Personal information in free text: its places, typed placeholders, and keyed surrogates.
 
 E-mail addresses, telephone numbers, numbers issued to persons and postal addresses are found by their forms, ambiguous
-numbers by the nearest telling word before them. Names of persons are found by given names, initials and titles beside a
-family name; a family name that stands alone is taken where the text has it in a fuller form, or where the characters
-around it are such as full names have around them in the distinct texts (all of them are counted).
+numbers by check digits or the nearest telling word before them. Names of persons are found by given names, initials and
+titles beside a family name; a family name that stands alone is taken where the text has it in a fuller form, or where the
+characters around it are such as full names have around them.
 
-Each place can be replaced by the placeholder of its kind, or by a surrogate: a keyed hash of the folded value chooses a
-given name of the same gender, a family name of the same script, or digits and letters of the same format. Equal values get
-equal surrogates in every text, so references stay together; in a text different values that would meet are moved apart.
+No names are listed here. Given names are learned from all distinct texts: words that stand between a title and another
+capitalised word often enough, before many different words. So are the words that end names of firms, the words that are
+common, and the characters around full names.
+
+Each place can be replaced by the placeholder of its kind, or by a surrogate (surrogates.py).
 """
 
 from __future__ import annotations
 
-import functools
-import hashlib
-import hmac
 import math
 import re
 import unicodedata
@@ -26,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialize import materialize, release
-from .names import GIVEN, fold, phonetic
+from .names import fold, phonetic
+from .surrogates import Surrogates
 
 #: Share of the distinct texts that surroundings must stand with full names in to be known, four at least. It bounds what the
 #: driver and the workers hold; up to 100,000 distinct texts four are enough.
@@ -35,6 +35,11 @@ LEAST = 4e-5
 HELD = 200_000
 #: Share of the distinct texts learned from in which a capitalised word that is no family name there counts as common.
 OFTEN = 0.005
+#: A given name stands behind titles in so many distinct texts at least (a share of all texts, four at least), before so many
+#: different words.
+TITLED, FAMILIES = 2e-5, 4
+#: A word ends names of firms where it stands in this share of the texts, mostly behind another capitalised word.
+ENDING, ENDING_PART = 2e-3, 0.6
 KINDS = ("email", "phone", "id_number", "address", "person_name")
 # The decimal digits and signs of other scripts, each as its plain form.
 PLAIN = {ord(c): str(unicodedata.digit(c)) for c in map(chr, range(0x660, 0x110000)) if unicodedata.category(c) == "Nd" and unicodedata.digit(c, -1) >= 0}
@@ -42,7 +47,7 @@ PLAIN |= {ord(a): b for a, b in zip("＋－（）／．＠，：−‐‑", "+-(
 # Titles before a person's name; words that show a number to be a person's, and such that show it is not.
 TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Gen|Lt|Col|Capt|Maj|Herr|Frau|Mme|Mlle|Sr|Sra|Dra|Don|Doña|Sig|Dott|Ing|Inż|Dhr|Mevr|Ir|Sn|Инженер|Інженер)\.?|M\.|डॉ\.|श्री|श्रीमती|السيدة|السيد|د\.|خانم|آقای|دکتر"
 PERSONAL = [
-    "passport", "identity card", "id card", "identity no", "id no", "tax card", "tax no", "national insurance", "social security", "ausweis", "reisepass", "steuer", "passeport", "pièce d", "identité",
+    "passport", "ssn", "driving licence", "driver's license", "führerschein", "permis de conduire", "identity card", "id card", "identity no", "id no", "tax card", "tax no", "national insurance", "social security", "ausweis", "reisepass", "steuer", "passeport", "pièce d", "identité",
     "dni", "pasaporte", "identidad", "passaporto", "passaporte", "codice personale", "codice fiscale", "carta d", "paspoort", "identiteit", "dowod", "dowód", "pesel", "paszport", "kimlik", "pasaport",
     "паспорт", "инн", "снилс", "посвідчення", "ідентифікаці", "личност", "护照", "身份证", "旅券", "個人番号", "여권", "주민", "جواز", "هوية", "کد ملی", "گذرنامه", "شناسنامه", "पहचान", "पासपोर्ट", "หนังสือเดินทาง", "ประจำตัว", "บัตรประชาชน",
 ]
@@ -94,8 +99,6 @@ PHONE = re.compile(
 OWN_ID = re.compile(r"(?<![A-Za-z0-9/-])(?:[A-Z]{5}\d{4}[A-Z]|\d{8}[A-Z]|\d{8}-[\dA-Za-z])(?![A-Za-z0-9/-])")
 ANY_ID = re.compile(r"(?<![A-Za-z0-9/.-])(?:[A-Z]{2}\d{7}|\d{3}-\d{2}-\d{4}|\d{4}[ \xa0]\d{4}[ \xa0]\d{4}|\d{4}-\d{4}-\d{4}|\d{9,11})(?![A-Za-z0-9/-])")
 
-_FULL_GIVEN = {*GIVEN} | {"jean-luc", "jean luc"}
-_PHONETIC_GIVEN = {phonetic(g) for g in _FULL_GIVEN}
 _CAPS = re.compile(rf"{_W}")
 _SEQ = re.compile(rf"(?:(?:[{_U}]|[{_CU}](?:ж)?)\.(?:-?(?:[{_U}]|[{_CU}](?:ж)?)\.)?[ \xa0-]{{0,2}}(?:\r?\n)?)*(?:{_NAME})")
 _INITIAL = rf"(?:[{_U}][̀-ͯ]?|[{_CU}]ж?)\."
@@ -105,18 +108,33 @@ _INITIAL_FAMILY = re.compile(rf"((?:[{_U}](?<![{_L}.].)[̀-ͯ]?|[{_CU}](?<![{_C}
 _FAMILY_INITIAL = re.compile(rf"({_NAME}),{_SP}((?:{_INITIAL}){{1,2}})(?![{_L}])")
 _TITLED = re.compile(rf"(?:{TITLE}){_SP}((?:{_INITIAL}{_SP})*{_NAME})")
 _SONS = re.compile(r"\s*(?:&|und|et|y|e|en|i|ve|и|та)\s+(?:Sons?|Söhne|Fils|Hijos|Figli|Zonen|Filhos|Synowie|Oğulları|сыновья|сини|Co|Bros|Brothers|Daughters)\b")
-# First words of lines of business and legal forms, which show a firm before them.
-FIRM = set(
-    "Forge Robotics Systems Electronics Shipyards Armoured Steel Marine Munitions Avionics Composites Dynamics Optics Radar Propulsion Holdings Industries Works Technologies Engineering Vehicles "
-    "Ltd Inc Co Corp GmbH Oy Sp S A Pvt Ltda SA AG Media Wire Online Data Group".split()
-)
-_NOT_NAME = set("The Mk No St New Upper Port Fort Lower Old North South East West Contact Phone Address Mail Email Tel Passport Badge Witness Payslip Nobody Plot Sector Flat Apt Box".split())
+# Titles by the gender they tell.
+_SHE, _HE = set("Mrs Ms Frau Mme Mlle Sra Dra Doña Mevr श्रीमती السيدة خانم".split()), set("Mr Herr Don Dhr M Sig श्री السيد آقای".split())
+_TITLE_WORDS = set("Mr Mrs Ms Dr Prof Gen Lt Col Capt Maj Herr Frau Mme Mlle Sr Sra Dra Don Doña Sig Dott Ing Inż Dhr Mevr Ir Sn Инженер Інженер M".split())
+
+
+class Known:
+    """What is learned of a corpus: given names (with 'f', 'm' or ''), words that end names of firms, common words, small words
+    of texts without letter case, and the log-odds of a name for the characters around it."""
+
+    def __init__(self, given: dict[str, str] | None = None, endings: frozenset[str] = frozenset(), common: frozenset[str] = frozenset(), small: frozenset[str] = frozenset(), around: dict | None = None):
+        self.given = {phonetic(fold(w)): g for w, g in (given or {}).items()}
+        self.endings, self.common, self.small, self.around = endings, common, small, around or {}
+        self._seen: dict[str, bool] = {}
 
+    def is_given(self, word: str) -> bool:
+        """Whether a word is a known given name, in any script and letter case."""
+        if word not in self._seen:
+            if len(self._seen) > 100_000:
+                self._seen.clear()
+            self._seen[word] = phonetic(fold(word)) in self.given
+        return self._seen[word]
 
-@functools.lru_cache(maxsize=100_000)
-def is_given(word: str) -> bool:
-    """Whether a word is a known given name, in any script and letter case."""
-    return word.lower() in _FULL_GIVEN if word.isascii() else phonetic(fold(word)) in _PHONETIC_GIVEN
+    def ends_firm(self, word: str) -> bool:
+        return word in self.endings or word.capitalize() in self.endings
+
+    def no_name(self, word: str) -> bool:
+        return word in self.common or word in self.endings or word in _TITLE_WORDS
 
 
 _WIDE = re.compile(r"[^\D0-9]|[＋－（）／．＠，：−‐‑]")
@@ -153,6 +171,10 @@ def _numbers(s: str, low: str, odd: bool) -> list[tuple[int, int, str]]:
                 spans.append((a, e, "email"))
             done = e
             break
+    for pattern, valid in ((IBAN, iban), (CARD, lambda t: luhn(re.sub(r"\D", "", t)))):
+        for m in pattern.finditer(s):
+            if valid(m[0]) and not _overlaps(spans, *m.span()):
+                spans.append((*m.span(), "id_number"))
     last = -1
     for island in _ISLAND.finditer(s):
         size = island.end() - island.start()
@@ -198,6 +220,21 @@ def _numbers(s: str, low: str, odd: bool) -> list[tuple[int, int, str]]:
     return spans
 
 
+IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?:[ \xa0]?[A-Z0-9]{4}){2,7}(?:[ \xa0]?[A-Z0-9]{1,3})?\b")
+CARD = re.compile(r"(?<![\d-])\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?![\d-])")
+
+
+def luhn(digits: str) -> bool:
+    """Whether the last digit is the check digit of cards."""
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def iban(text: str) -> bool:
+    """Whether the check digits of an account number hold."""
+    plain_ = re.sub(r"\s", "", text)
+    return int("".join(str(int(c, 36)) for c in plain_[4:] + plain_[:4])) % 97 == 1
+
+
 _ISLAND = re.compile(r"[+(]?\d[\d \xa0\r\n().+/-]*\d")
 
 
@@ -217,119 +254,142 @@ def _context(even: str, a: int, e: int) -> tuple[str, str]:
     return even[max(0, a - 8) : a], even[e : e + 5]
 
 
-def _fuller(s: str, taken: list[tuple[int, int, str]], odd: bool) -> list[tuple[int, int, list[str], int]]:
-    """Names with a given name: (start, end, family words, strength)."""
-    found: list[tuple[int, int, list[str], int]] = []
-    word = _ANYWORD if odd else _CAPS
-    done = -1
-    for m in word.finditer(s):
-        a, e = m.span()
-        if a < done or e - a < 4:
-            continue
-        if s[e : e + 4].lower() in _LUC and m[0].lower() in ("jean", "джеан"):
-            e += 4
-        elif not is_given(m[0]):
+def _fuller(s: str, taken: bytearray, odd: bool, known: Known, tokens: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
+    """Names with a given name: (start, end, family words)."""
+    found: list[tuple[int, int, list[str]]] = []
+    done, given = -1, known.is_given
+    for a, e, w in tokens:
+        if a < done or e - a < 3:
             continue
+        if not given(w):
+            first = w
+            while "-" in first and not given(first):
+                first = first.rpartition("-")[0]
+            if len(first) < 3 or not given(first):
+                continue
+            e = a + len(first)
         start, end, family = a, e, []
-        before = _BEFORE_GIVEN.search(s, max(0, a - 40), a)
         after = (_ODD_THEN if odd else _GIVEN_THEN).match(s, e)
-        if after and after[2].split("-")[0] not in FIRM and not is_given(after[2]) and (not odd or after[2].lower() not in _SMALL) and not s[e : after.start(2)].count("\n\n"):
-            gap = s[e : after.start(2)]
-            if gap.strip(" \xa0\r\n-") == "" or re.fullmatch(rf"[\s-]*(?:{_INITIAL}[\s-]*)+", gap, re.I):
-                if gap:
-                    end, family = after.end(2), [after[2]]
-        if not family and before and before[1].split("-")[0] not in FIRM | _NOT_NAME and not is_given(before[1]):
+        if after and given(after[2]) and not after[1].strip(" -\xa0\r\n"):  # two given names
+            e = after.end(2)
+            after = (_ODD_THEN if odd else _GIVEN_THEN).match(s, e)
+        before = _BEFORE_GIVEN.search(s, max(0, a - 40), a)
+        if after and e < after.start(2) and not known.ends_firm(after[2].split("-")[0]) and not given(after[2]) and (not odd or after[2].lower() not in known.small) and "\n\n" not in s[e : after.start(2)]:
+            end, family = after.end(2), [after[2]]
+        if not family and before and not known.no_name(before[1].split("-")[0]) and not given(before[1]):
             if before[2].strip() == "," or before[1].isupper() and len(before[1]) > 3:
-                start, family = before.start(1), [before[1]]
-                tail = re.compile(rf"{_SP}((?:{_INITIAL}{_S})+|[{_U}](?![{_L}.]))").match(s, e)
+                start, end, family = before.start(1), e, [before[1]]
+                tail = _TAIL.match(s, e)
                 if tail and before[2].strip() == ",":
-                    end = tail.end(1) if not tail[1][-1].isspace() else e + len(s[e : tail.end(1)].rstrip())
-        if _overlaps(taken, start, end) or not family and odd:
-            continue
-        if family:
-            found.append((start, end, family, 2))
+                    end = e + len(s[e : tail.end(1)].rstrip())
+        if family and 1 not in taken[start:end]:
+            found.append((start, end, family))
             done = end
     return found
 
 
-_LUC = ("-luc", " luc", "-лук", " лук")
-_ANYWORD = re.compile(rf"[{_L}]+|[{_C}{_CU}]+")
+_TAIL = re.compile(rf"{_SP}((?:{_INITIAL}{_S})+|[{_U}](?![{_L}.]))")
+_ANYWORD = re.compile(rf"[{_L}]+(?:-[{_L}]+)?|[{_C}{_CU}]+(?:-[{_C}{_CU}]+)?")
 _ODD_THEN = re.compile(rf"{_S}((?:{_SP}|-)?(?:(?:[{_L}]|[{_C}{_CU}]ж?)\.(?:{_SP}|-))*)([{_L}]{{3,}}(?:-[{_L}]{{3,}})*|[{_C}{_CU}]{{3,}}(?:-[{_C}{_CU}]{{3,}})*)")
-_SMALL = set("was said told who joined the and for has will from with that inspected chaired runs lives showed put told sagte erklärte leitet wohnt dijo afirma dirige evalue évalue estima stima guida leidt schat kieruje adlı".split())
 
 
-class Model:
+def _odd(s: str) -> bool:
+    """Whether letter case tells nothing, by the whole text."""
+    small, capital = len(_SMALL_RUN.findall(s)), len(_CAPITAL_RUN.findall(s))
+    return capital > 5 * small or small > 20 and not _CAPS.search(s)
+
+
+def _words(s: str, odd: bool) -> list[tuple[int, int, str]]:
+    return [(*m.span(), m[0]) for m in (_ANYWORD if odd else _ONE).finditer(s)]
+
+
+class Counts:
     """What stands around full names: counts of the characters on both sides, of full names and of any capitalised words."""
 
-    def __init__(self, texts: int = 0) -> None:
+    def __init__(self, known: Known) -> None:
+        self.known = known
         self.name: Counter = Counter()
         self.every: Counter = Counter()
-        self.often = max(40, texts * OFTEN)
 
     def learn(self, text: str) -> None:
         s = plain(text)
-        if s.isupper() or s.islower():
+        every, name = self.every, self.name
+        if _odd(s):
+            every.update(("s", w) for w in {w.lower() for _, _, w in _words(s, True)})
             return
         even = _even(s)
-        full = _fuller(s, [], False)
-        marks = {(a, e) for a, e, _, _ in full}
-        for a, e in marks:
-            left, right = _context(even, a, e)
-            for key in (("l", left), ("r", right), ("b", left[-6:] + "\0" + right[:5])):
-                self.name[key] += 1
-                self.every[key] += 1
-        for m in _RUN.finditer(s):
-            a, e = m.span()
-            if any(a < y and x < e for x, y in marks):
+        tokens = _words(s, False)
+        mask = bytearray(len(s))
+        families: set[str] = set()
+        for a, e, more in _fuller(s, mask, False, self.known, tokens):
+            mask[a:e] = b"\1" * (e - a)
+            families.update(p for f in more for p in [f, *f.split("-")])
+            left, right = even[max(0, a - 8) : a], even[e : e + 5]
+            keys = ("l", left), ("r", right), ("b", left[-6:] + "\0" + right)
+            name.update(keys)
+            every.update(keys)
+        keys, at, words, behind, given = [], -1, set(), set(), self.known.is_given
+        for i, (a, e, w) in enumerate(tokens):
+            words.add(w)
+            if i and tokens[i - 1][1] == a - 1 and s[a - 1] in _GAPS and not given(tokens[i - 1][2]):
+                behind.add(w)
+            if a < at or mask[a]:
                 continue
-            left, right = _context(even, a, e)
-            for key in (("l", left), ("r", right), ("b", left[-6:] + "\0" + right[:5])):
-                self.every[key] += 1
-        families = {p.lower() for _, _, fs, _ in full for f in fs for p in [f, *f.split("-")]}
-        for w in {*_ONE.findall(s)}:
-            if w.lower() not in families:
-                self.every[("w", w)] += 1
-
-    def settle(self, least: int = 4) -> dict[tuple[str, str], float]:
-        """The log-odds of a name for each surrounding seen with full names often enough."""
-        base = (sum(self.name.values()) + 1) / (sum(n for k, n in self.every.items() if k[0] != "w") + 2)
+            j = i  # the run of words that begins here
+            while j + 1 < len(tokens) and s[tokens[j][1] : tokens[j + 1][0]] in _GAPS:
+                j += 1
+            at = e = tokens[j][1]
+            left, right = even[max(0, a - 8) : a], even[e : e + 5]
+            keys += [("l", left), ("r", right), ("b", left[-6:] + "\0" + right)]
+        every.update(keys)
+        every.update([("w", w) for w in words - families])
+        every.update([("e", w) for w in behind - families])
+
+    def settle(self, least: int, often: float, small: float, ending: float) -> Known:
+        """What is known, with the log-odds of a name for each surrounding seen with full names often enough."""
+        base = (sum(self.name.values()) + 1) / (sum(n for k, n in self.every.items() if k[0] in "lrb") + 2)
         prior = math.log(base / (1 - base))
-        out = {}
-        out[("w", "")] = frozenset(w for (side, w), n in self.every.items() if side == "w" and n >= self.often)
+        around = {}
         for key, n in self.every.items():
-            if key[0] == "w":
-                continue
             k = self.name[key]
-            if k >= least or n >= 4 * least:
+            if key[0] in "lrb" and (k >= least or n >= 4 * least):
                 p = (k + 0.5) / (n + 1)
-                out[key] = math.log(p / (1 - p)) - prior
-        return out
+                around[key] = math.log(p / (1 - p)) - prior
+        of = lambda side, floor: frozenset(w for (x, w), n in self.every.items() if x == side and n >= floor)
+        endings = frozenset(w for w in of("e", ending) if self.every[("e", w)] >= ENDING_PART * self.every[("w", w)])
+        new = Known(None, endings, of("w", often), of("s", small), around)
+        new.given = self.known.given
+        return new
 
 
-_RUN = re.compile(rf"{_NAME}(?:[ \xa0]{_NAME})*")
+_GAPS = (" ", "\xa0")
 
 
-def names(s: str, taken: list[tuple[int, int, str]], around: dict, odd: bool, even: str) -> list[tuple[int, int, str]]:
+def names(s: str, taken: list[tuple[int, int, str]], known: Known, odd: bool, even: str) -> list[tuple[int, int, str]]:
     """Places of persons' names."""
-    common = around.get(("w", ""), frozenset())
-    found = _fuller(s, taken, odd)
-    spans = [(a, e) for a, e, _, _ in found]
-    families = {p for _, _, fs, _ in found for f in fs for p in [f, *f.split("-")] if len(p) > 3}
+    around, common, given = known.around, known.common, known.is_given
     full = bytearray(len(s))
-    for a, e in [*spans, *((a, e) for a, e, _ in taken)]:
+    for a, e, _ in taken:
         full[a:e] = b"\1" * (e - a)
+    tokens = _words(s, odd)
+    found = _fuller(s, full, odd, known, tokens)
+    spans: list[tuple[int, int]] = []
+    families = {p for _, _, fs in found for f in fs for p in [f, *f.split("-")] if len(p) > 3}
 
     def add(a: int, e: int) -> None:
         spans.append((a, e))
         full[a:e] = b"\1" * (e - a)
 
+    for a, e, _ in found:
+        add(a, e)
+
     def firm(e: int) -> bool:
         nxt = _NEXT_WORD.match(s, e)
-        return bool(nxt) and (nxt[1] in FIRM or nxt[1].capitalize() in FIRM) or bool(_SONS.match(s, e))
+        return bool(nxt) and known.ends_firm(nxt[1]) or bool(_SONS.match(s, e))
 
     def score(a: int, e: int) -> float:
-        left, right = _context(even, a, e)
-        both = around.get(("b", left[-6:] + "\0" + right[:5]))
+        left, right = even[max(0, a - 8) : a], even[e : e + 5]
+        both = around.get(("b", left[-6:] + "\0" + right))
         one, two = around.get(("l", left), 0.0), around.get(("r", right), 0.0)
         return one + two if both is None else max(both * 1.2, one + two) if both > 0 else one + two + both
 
@@ -337,7 +397,7 @@ def names(s: str, taken: list[tuple[int, int, str]], around: dict, odd: bool, ev
         for m in _INITIAL_FAMILY.finditer(s):
             a, e = m.span()
             w = m[2]
-            if e - m.start(2) < 4 or 1 in full[a:e] or w in FIRM or w in _NOT_NAME or firm(e) or s[max(0, a - 2) : a].rstrip(" ").endswith("-"):
+            if e - m.start(2) < 4 or 1 in full[a:e] or known.no_name(w) or firm(e) or s[max(0, a - 2) : a].rstrip(" ").endswith("-"):
                 continue
             if w in families or score(a, e) > -1.0:
                 add(a, e)
@@ -345,74 +405,101 @@ def names(s: str, taken: list[tuple[int, int, str]], around: dict, odd: bool, ev
         if _COMMA_INITIAL.search(s):
             for m in _FAMILY_INITIAL.finditer(s):
                 a, e = m.span()
-                if not 1 in full[a:e] and m[1] not in _NOT_NAME and len(m[1]) > 3 and (m[1] in families or m[1].isupper() or score(a, e) > 0.0):
+                if not 1 in full[a:e] and not known.no_name(m[1]) and len(m[1]) > 3 and (m[1] in families or m[1].isupper() or score(a, e) > 0.0):
                     add(a, e)
                     families.add(m[1])
-        for m in _TITLED.finditer(s):
+        titled = [m for a, _, w in tokens if w in _TITLE_WORDS and (m := _TITLED.match(s, a))]
+        if not s.isascii():
+            titled += _OTHER_TITLED.finditer(s)
+        for m in titled:
             a, e = m.span(1)
             before = s[m.start() - 1 : m.start()]
-            if e - a > 3 and not before.isalnum() and not 1 in full[a:e] and m[1] not in _NOT_NAME and not firm(e):
+            if e - a > 3 and not before.isalnum() and not 1 in full[a:e] and m[1].split()[-1] not in common and not firm(e):
+                more = _MORE_NAME.match(s, e)  # a given name that is not known, and the family name
+                if more and not known.no_name(more[1]) and not firm(more.end()) and "." not in m[1]:
+                    e = more.end()
+                    families.add(more[1])
                 add(a, e)
-                families.add(m[1])
-    elif _CAPS.search(s):  # odd by its counts over the whole text, so of capitals: the surroundings must be known
+                families.add(m[1].split()[-1])
+    elif _CAPS.search(s):  # of capitals: the surroundings must be known
         for m in _INITIAL_FAMILY.finditer(s):
             a, e = m.span()
             if e - m.start(2) >= 4 and 1 not in full[a:e] and not firm(e) and score(a, e) > 1.5:
                 add(a, e)
                 families.add(m[2])
-        for m in _ANYRUN.finditer(s):
-            a, e = m.span()
-            left, right = _context(even, a, e)
-            if 1 not in full[a:e] and ("b", left[-6:] + "\0" + right[:5]) in around and score(a, e) > 4.0 and not is_given(m[0]) and not firm(e):
+        for a, e, w in tokens:
+            if e - a < 4 or full[a]:
+                continue
+            left, right = even[max(0, a - 8) : a], even[e : e + 5]
+            if 1 not in full[a:e] and ("b", left[-6:] + "\0" + right) in around and score(a, e) > 4.0 and not given(w) and not firm(e):
                 add(a, e)
     fold_of = {f.lower() for f in families}
-    for m in (_ANYRUN if odd else _ONE).finditer(s):
-        a, e = m.span()
-        if e - a < 4 or full[a]:
+    for i, (a, e, w) in enumerate(tokens):
+        if e - a < 4 or full[a] or w in known.endings:
             continue
-        w = m[0]
-        if w in _NOT_NAME or w in FIRM:
-            continue
-        if w.lower() in fold_of or "-" in w and w.split("-")[0].lower() in fold_of:
+        low = w.lower()
+        if low in fold_of or "-" in w and low.split("-")[0] in fold_of:
             if 1 not in full[a:e] and not firm(e) and s[max(0, a - 1) : a] not in ("@", ".", "-", "_"):
                 add(a, e)
-        elif not odd and w not in common and not _MORE.match(s, e) and ((left := _LAST.search(s, max(0, a - 30), a)) is None or left[1] in common):
-            if score(a, e) > 3.2 and not is_given(w) and not firm(e):
+        elif not odd and w not in common:
+            if i + 1 < len(tokens) and tokens[i + 1][0] == e + 1 and s[e] in _GAPS:
+                continue
+            if i and tokens[i - 1][1] == a - 1 and s[a - 1] in _GAPS and tokens[i - 1][2] not in common:
+                continue
+            if score(a, e) > 3.2 and not given(w) and not firm(e):
                 add(a, e)
-                fold_of.add(w.lower())
+                fold_of.add(low)
     return [(a, e, "person_name") for a, e in spans]
 
 
 _NEXT_WORD = re.compile(rf"[ \xa0]*\n?[ \xa0]*({_W})")
 _COMMA_INITIAL = re.compile(rf",\s{{1,3}}{_INITIAL}")
 _ONE = re.compile(_NAME)
-_LAST = re.compile(rf"({_W})[ \xa0]$")
-_MORE = re.compile(rf"[ \xa0]{_W}")
-_ANYRUN = re.compile(rf"[{_L}]{{4,}}(?:-[{_L}]{{4,}})*|[{_C}{_CU}]{{4,}}(?:-[{_C}{_CU}]{{4,}})*")
+_MORE_NAME = re.compile(rf"[ \xa0]({_NAME})")
+_OTHER_TITLED = re.compile(rf"(?:डॉ\.|श्री|श्रीमती|السيدة|السيد|د\.|خانم|آقای|دکتر){_SP}((?:{_INITIAL}{_SP})*{_NAME})")
 
 
-def find(text: str | None, around: dict[tuple[str, str], float]) -> list[tuple[int, int, str]]:
+def find(text: str | None, known: Known) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each place, in code points, in order and without overlaps."""
     if not text:
         return []
     s = plain(text)
-    even = _even(s)
-    small, capital = len(_SMALL_RUN.findall(s)), len(_CAPITAL_RUN.findall(s))
-    odd = capital > 5 * small or small > 20 and not _CAPS.search(s)
+    even, odd = _even(s), _odd(s)
     spans = _numbers(s, even, odd)
-    spans += names(s, spans, around, odd, even)
+    spans += names(s, spans, known, odd, even)
     return sorted(spans)
 
 
 _SMALL_RUN, _CAPITAL_RUN = re.compile(rf"[a-zß-öø-ÿ{_C}]{{3,}}"), re.compile(rf"[A-ZÀ-ÖØ-Þ{_CU}]{{4,}}")
 
 
-def fit(rows: DataFrame, text_column: str = "text") -> dict[tuple[str, str], float]:
-    """The surroundings of names, counted over all distinct texts."""
-    texts = rows.select(F.col(text_column).alias("text")).where("text is not null and text != ''").distinct()
+_JAVA_WORD = r"\p{Lu}[\p{Ll}\p{M}’']+(?:[’'\-]?\p{Lu}[\p{Ll}\p{M}]+)*"
+_JAVA_TITLE = r"(?:" + "|".join(sorted(_TITLE_WORDS | _SHE | _HE, key=len, reverse=True)) + r"|डॉ|د|دکتر)"
+
+
+def given_names(texts: DataFrame, total: int) -> dict[str, str]:
+    """Given names, with the gender most of their titles tell, of `total` distinct `texts` (column text).
+
+    A given name is a word between a title and another capitalised word. Every text is read, inside the JVM; what comes to the
+    driver is bounded by the share `TITLED`, since a text has few titles.
+    """
+    run = F.regexp_extract_all("text", F.lit(rf"\b{_JAVA_TITLE}\.?[ \xa0]{{1,2}}{_JAVA_WORD}(?:[ \xa0]{_JAVA_WORD}){{1,2}}"), F.lit(0))
+    found = texts.select(F.xxhash64("text").alias("t"), F.explode(run).alias("m")).select("t", F.split(F.regexp_replace("m", r"\.?[ \xa0]+", " "), " ").alias("x"))
+    each = found.select("t", F.col("x")[0].alias("title"), F.explode(F.slice("x", 2, F.size("x") - 2)).alias("word"), F.element_at("x", -1).alias("last"))
+    she, he = (F.count_if(F.col("title").isin(*sorted(x))) for x in (_SHE, _HE))
+    counts = each.groupBy("word").agg(F.count_distinct("t").alias("n"), she.alias("she"), he.alias("he"), F.approx_count_distinct("last").alias("families"))
+    kept = counts.where((F.col("n") >= max(4, math.ceil(total * TITLED))) & (F.col("families") >= FAMILIES))
+    return {r.word: "f" if r.she > r.he else "m" if r.he > r.she else "" for r in kept.collect()}
+
+
+def fit(rows: DataFrame, text_column: str = "text") -> Known:
+    """What is to be known of a corpus, counted over all its distinct texts."""
+    texts = materialize(rows.select(F.col(text_column).alias("text")).where("text is not null and text != ''").distinct())
+    total = texts.count()
+    begun = Known(given_names(texts, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model()
+        model = Counts(begun)
 
         def counts() -> pa.RecordBatch:
             keys = [*model.every]
@@ -424,143 +511,56 @@ def fit(rows: DataFrame, text_column: str = "text") -> dict[tuple[str, str], flo
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 model.learn(t)
-                model.every[("n", "")] += 1
                 if len(model.every) > HELD:
                     yield counts()
-                    model = Model()
+                    model = Counts(begun)
         yield counts()
 
     sums = materialize(texts.mapInArrow(run, "side string, around string, named long, n long").groupBy("side", "around").agg(F.sum("named").alias("named"), F.sum("n").alias("n")))
-    total = sums.where("side = 'n'").agg(F.sum("n")).first()[0] or 0
-    model, least = Model(total), max(4, math.ceil(total * LEAST))
-    kept = F.when(F.col("side") == "w", F.col("n") >= model.often).otherwise((F.col("side") != "n") & ((F.col("named") >= least) | (F.col("n") >= 4 * least)))
+    model, least, often = Counts(begun), max(4, math.ceil(total * LEAST)), max(40, total * OFTEN)
+    small, ending = max(3, total * OFTEN / 25), max(8, total * ENDING)
+    floor = F.when(F.col("side") == "w", min(often, ending)).when(F.col("side") == "s", small).when(F.col("side") == "e", ending).otherwise(4 * least)
+    kept = (F.col("n") >= floor) | (F.col("named") >= least)
     for r in sums.where(kept).collect():  # bounded by the shares
         model.name[(r.side, r.around)], model.every[(r.side, r.around)] = r.named, r.n
     release(sums)
-    return model.settle(least)
+    release(texts)
+    return model.settle(least, often, small, ending)
+
+
+def _shared(rows: DataFrame, known: Known):
+    """What is known, broadcast: its size is bounded by the shares of the texts that its entries must stand in."""
+    return rows.sparkSession.sparkContext.broadcast(known)
 
 
-def located(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", around: dict[tuple[str, str], float] | None = None) -> DataFrame:
+def located(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", known: Known | None = None) -> DataFrame:
     """(id, start_c, end_c, kind) of each place. Null, empty and blank texts have none; repeated rows repeat theirs; other
-    columns are ignored, whatever their names. `around` is learned from the same rows where it is not given."""
-    known = fit(rows, text_column) if around is None else around
+    columns are ignored, whatever their names. `known` is learned from the same rows where it is not given."""
+    shared = _shared(rows, fit(rows, text_column) if known is None else known)
     kind = rows.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                out = [(i, a, e, k) for i, t in enumerate(part.column(1).to_pylist()) for a, e, k in find(t, known)]
+                out = [(i, a, e, k) for i, t in enumerate(part.column(1).to_pylist()) for a, e, k in find(t, shared.value)]
                 columns = [part.column(0).take(pa.array([x[0] for x in out], pa.int32())), *(pa.array([x[j] for x in out], pa.int32()) for j in (1, 2)), pa.array([x[3] for x in out], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_column, "start_c", "end_c", "kind"])
 
     return rows.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, start_c int, end_c int, kind string")
 
 
-# Given names to take as surrogates, by gender; the syllables of surrogate family names.
-WOMEN = "Anna Clara Diana Elena Gloria Helena Irene Julia Laura Monica Nora Olivia Paula Rosa Sofia Teresa Vera Wanda Alice Carmen".split()
-MEN = "Adam Bruno Carlos David Erik Felix Georg Hugo Igor Jonas Karl Leo Martin Oscar Peter Roman Simon Victor Otto Marco".split()
-_WOMEN = {"farida", "natalia", "vivian", "ursula", "elizabeth", "lakshmi", "dorota", "chiara", "deborah", "susanna", "margaret", "katherine", "ingrid", "penelope", "emilie", "ayse", "maria", "olga", "patricia"}
-SYLLABLES = "bal cor dan fel gar hol kin lar mon nor pel ran sol tan val wes mar len dor bek".split()
-CYRILLIC = dict(zip("abdefghiklmnoprstvw", "абдефгхиклмнопрствв")) | {"c": "к"}
-
-
-class Surrogates:
-    """Keyed, type-consistent replacements."""
-
-    def __init__(self, key: bytes):
-        self.key = key
-
-    def _draw(self, value: str, kind: str, turn: int) -> int:
-        return int.from_bytes(hmac.new(self.key, f"{kind}\0{turn}\0{value}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest(), "big")
-
-    def _shape(self, value: str, kind: str, turn: int) -> str:
-        """Other digits and letters in the same places."""
-        n = self._draw(re.sub(r"[\W_]", "", value).lower(), kind, turn)
-        out = []
-        for c in value:
-            if c.isdigit():
-                n, r = divmod(n, 10)
-                zero = ord(c) - unicodedata.digit(c)
-                out.append(chr(zero + r))
-            elif c.isascii() and c.isalpha() and kind == "id_number":
-                n, r = divmod(n, 26)
-                out.append(chr((97 if c.islower() else 65) + r))
-            else:
-                out.append(c)
-        return "".join(out)
-
-    def _word(self, word: str, turn: int) -> str:
-        """A family name in the script and letter case of `word`."""
-        n = self._draw(fold(word), "family", turn)
-        new = "".join(SYLLABLES[(n >> (8 * i)) % len(SYLLABLES)] for i in range(3))
-        if re.match(f"[{_C}{_CU}]", word):
-            new = "".join(CYRILLIC.get(c, c) for c in new)
-        return new.upper() if word.isupper() and len(word) > 1 else new.capitalize() if word[:1].isupper() else new
-
-    def name(self, value: str, turn: int) -> str:
-        """Each word of a name for itself, so that shorter forms of one name stay parts of the longer."""
-        def one(m: re.Match) -> str:
-            w = m[0]
-            if len(fold(w)) <= 2:
-                return w[:0] + chr(65 + self._draw(fold(w), "initial", turn) % 26) if w.isascii() else w
-            if is_given(w):
-                pool = WOMEN if fold(w) in _WOMEN else MEN
-                new = pool[self._draw(fold(w), "given", turn) % len(pool)]
-                if re.match(f"[{_C}{_CU}]", w):
-                    new = "".join(CYRILLIC.get(c, c) for c in new.lower()).capitalize()
-                return new.upper() if w.isupper() else new
-            return self._word(w, turn)
-
-        return re.sub(rf"[{_L}]+|[{_C}{_CU}]+", one, value)
-
-    def replace(self, value: str, kind: str, turn: int) -> str:
-        if kind == "person_name":
-            return self.name(value, turn)
-        if kind == "email":
-            m = EMAIL.search(plain(value))
-            local = self._word(value[: m.end("l")] if m else value, turn).lower() + str(self._draw(value.lower(), "email", turn) % 90 + 10)
-            return local + (value[m.end("l") : m.start("d")] if m else "@") + (value[m.start("d") :] if m else "mail.example")
-        if kind == "address":
-            def one(m: re.Match) -> str:
-                w = m[0]
-                return w if w.rstrip(".") in _KEEP_ADDRESS or len(w) < 3 else self._word(w, turn)
-
-            return re.sub(_W, one, self._shape(value, "address", turn))
-        return self._shape(value, kind, turn)
-
-    def rewrite(self, text: str, spans: list[tuple[int, int, str]]) -> str:
-        """The text with a surrogate in each place; different values of a kind never meet in one text."""
-        used: dict[tuple[str, str], str] = {}
-        given: dict[tuple[str, str], str] = {}
-        out, at = [], 0
-        for a, e, kind in spans:
-            value = text[a:e]
-            key = (kind, fold(value))
-            if key not in given:
-                turn = 0
-                new = self.replace(value, kind, turn)
-                while used.get((kind, fold(new)), key[1]) != key[1] or fold(new) == key[1] and any(map(str.isalnum, new)) and turn < 50:
-                    turn += 1
-                    new = self.replace(value, kind, turn)
-                given[key] = new
-                used[(kind, fold(new))] = key[1]
-            out += [text[at:a], given[key]]
-            at = e
-        return "".join([*out, text[at:]])
-
-
-_KEEP_ADDRESS = set("Street St Road Rd Lane Ln Close Crescent Avenue Ave Drive Way Court Place Square Terrace Boulevard Row Gardens Hill Flat Unit Apt Suite Plot No Industrial Estate Sector Box Upper New Port Fort Calle Av Rua Cad Sok Am Laan Postfach".split())
-
-
-def rewritten(rows: DataFrame, placeholders: dict[str, str] | None = None, key: bytes = b"tessella", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def rewritten(rows: DataFrame, placeholders: dict[str, str] | None = None, key: bytes | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text, n_found): each text with its places replaced, by `placeholders` (kind to text) or, without them, by
-    surrogates under `key`. All else is kept to the letter; null texts stay null."""
-    known = fit(rows, text_column)
+    surrogates under `key`, of which one must be given then. All else is kept to the letter; null texts stay null."""
+    if placeholders is None and not key:
+        raise ValueError("surrogates need a key")
+    shared = _shared(rows, fit(rows, text_column))
     kind = rows.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Surrogates(key)
+        known = shared.value
+        made = Surrogates(key, known.given) if placeholders is None else None
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.materialize import materialize
 from ..sources.tables import table
-from . import languages, linking
+from . import languages, lexicon, linking
 from . import mixing
 from . import near_duplicates as nd
 from . import personal, representative, sentences, tokens
@@ -35,7 +34,8 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def _survivors(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "serving_competitors")
-    return representative.winners(rows, materialize(representative.grouped(rows)))
+    words = lexicon.learn(table(spark, directory, "extracted_entity", "entity_id", "canonical_name"), table(spark, directory, "extracted_entity_alias", "entity_id", "surface"))
+    return representative.winners(rows, representative.grouped(rows, words))
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -46,14 +46,22 @@ def p4_records(spark: SparkSession, directory: str) -> DataFrame:
     return representative.records(_survivors(spark, directory))
 
 
-def p5_found(spark: SparkSession, directory: str) -> DataFrame:
-    return linking.linked(
+def _names(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
         table(spark, directory, "extracted_entity", "entity_id", "canonical_name", "redirects_to"),
         table(spark, directory, "extracted_entity_alias", "alias_id", "entity_id", "surface"),
         table(spark, directory, "serving_patent", "pub_no", "assignee"),
     )
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return linking.linked(*_names(spark, directory))
+
+
+def p5_members(spark: SparkSession, directory: str) -> DataFrame:
+    return linking.members(*_names(spark, directory))
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.encoded(table(spark, directory, "documents", "doc_id", "text"))
 
@@ -81,10 +89,12 @@ def p8_redacted(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p8_surrogates(spark: SparkSession, directory: str) -> DataFrame:
-    return personal.rewritten(table(spark, directory, "documents", "doc_id", "text"))
+    """With the key of the session's setting tessella.key; a fixed one of these tables' own where none is set, for invented texts only."""
+    key = spark.conf.get("tessella.key", "key for invented texts")
+    return personal.rewritten(table(spark, directory, "documents", "doc_id", "text"), key=key.encode())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p3_found, p3_segments, p4_found, p4_records, p5_found, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_redacted, p8_surrogates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p3_found, p3_segments, p4_found, p4_records, p5_found, p5_members, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_redacted, p8_surrogates)}
 SQL: dict[str, str] = {
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
