@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ OPEN, CLOSE = "«‹「『《〈（([{【〔", "»›」』》〉）)]}】〕"
 QUOTES = '"“”„‟'
 PAIR = dict(zip(CLOSE, OPEN))
 BULLETS = "-–—•*·‣▪◦●○■□►▶→✓"
-# Words before a full stop that do not end a sentence, and such that may, by language; lower case.
+# Words before a full stop that do not end a sentence, and such that may, of some languages; lower case. Others are learned.
 NEVER = set(
     "mr mrs ms dr prof gen lt capt col maj sgt cpl st ste rev hon no nos fig figs p pp vol ch sec art approx ca cca vs cf e.g i.e eg ie al jan feb mar apr jun jul aug sep sept oct nov "
     "dec rs mk sp dept est cmdr adm sen rep gov pres mt ft ave nr hr fr z b d u bzw vgl fa mio mrd inkl ggf str bd abs ing dipl frl zb "
@@ -34,7 +36,7 @@ NEVER = set(
     "г т е д дж ок им ул тыс стр рис см проф гр д-р бл м р ім вул тис напр डॉ सं श्री श्रीमती प्रो कु د أ م".split()
 )
 MAY = set("ltd inc corp co ltda s.a s.l s.p.a a.ş a.s o.o g.m.b.h b.v n.v etc usw a.m p.m руб млн млрд proc mln mld mrd jr bros plc llc kg km".split())
-# Words between which and a noun a German ordinal stands.
+# Words between which and a noun a German ordinal stands.
 ORDINAL = set("am dem der den des die das vom zum zur beim bis ab seit im und oder nach vor jeder jedem jedes jeden ihr ihrem sein seinem kein jede".split())
 _LINES = str.maketrans(dict.fromkeys("\r\x0b\x0c\x85  ", "\n"))
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
@@ -46,13 +48,15 @@ _THAI = re.compile("[฀-໿က-႟ក-៿]")
 _ASIAN = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 _ITEM = re.compile(rf"(?:[{re.escape(BULLETS)}]|\(?\d{{1,3}}\)|\d{{1,2}}\.(?!\s*[a-z])|\(?[a-z]\)|\(?[ivxIVX]{{1,4}}\))\s+(?=\S)")
 _TRIM = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0            ​    ⁠　﻿"
-#: Longest span considered where a shorter one is possible, in characters.
-REACH = 6000
 NO = -50.0
+#: Characters looked at behind a mark, and before one: for signs and words beside it.
+AHEAD, BACK = 400, 200
+#: A word is an abbreviation where so much of its occurrences have a full stop behind them, and so few of those end a block.
+STOPPED, ENDING = 0.7, 0.02
 
 
-def _depths(s: str, at: int, end: int) -> tuple[list[int], list[int], dict[int, int]]:
-    """Positions of matched opening and closing marks between at and end, and the closer of each opener."""
+def _depths(s: str, at: int, end: int) -> dict[int, int]:
+    """The closing mark of each matched opening mark between at and end."""
     stack: list[tuple[str, int]] = []
     pairs: dict[int, int] = {}
     for m in _MARKS.finditer(s, at, end):
@@ -75,7 +79,7 @@ def _depths(s: str, at: int, end: int) -> tuple[list[int], list[int], dict[int,
                     stack.append((c, i))
         else:
             stack.append((c, i))
-    return sorted(pairs), sorted(pairs.values()), pairs
+    return pairs
 
 
 _MARKS = re.compile(rf"[{re.escape(OPEN + CLOSE + QUOTES)}]")
@@ -96,7 +100,18 @@ def _opening(word: str, openers: dict[str, float], small: bool) -> float:
     return known - 0.3
 
 
-def _weak_end(before: str, ahead: str, after: str, openers: dict[str, float], small: bool) -> float:
+class Words(dict):
+    """Evidence of each word for opening a sentence; `never` and `may`: words before a full stop that do not end one, or may not."""
+
+    def __init__(self, openers: dict[str, float] | None = None, never: frozenset[str] = frozenset(NEVER), may: frozenset[str] = frozenset(MAY)):
+        super().__init__(openers or {})
+        self.never, self.may = never, may
+
+    def __reduce__(self):
+        return Words, (dict(self), self.never, self.may)
+
+
+def _weak_end(before: str, ahead: str, after: str, openers: Words, small: bool) -> float:
     """Evidence of the word before a full stop, given the words ahead of it and after it."""
     if before[-1:].isascii() or before[-1:] < "ɐ":
         tail = _LATIN.search(before)[0] or before
@@ -111,9 +126,9 @@ def _weak_end(before: str, ahead: str, after: str, openers: dict[str, float], sm
         if before.isupper() or not ahead[-1:].isdigit():
             return -7.0
         return 1.0
-    if low in NEVER or low.split("-")[-1] in NEVER and not low.isascii():
+    if low in openers.never or low.split("-")[-1] in openers.never and not low.isascii():
         return -9.0
-    if low in MAY:
+    if low in openers.may:
         if small or after and not after[0].isdigit() and after[0].lower() == after[0].upper():
             return 2.8 if known > 0.5 else -4.0
         return 3.2
@@ -124,10 +139,11 @@ def _weak_end(before: str, ahead: str, after: str, openers: dict[str, float], sm
     return 4.0
 
 
-def _block(s: str, at: int, end: int, openers: dict[str, float], wrap: int, small: bool) -> list[tuple[int, int]]:
+def _block(s: str, at: int, end: int, openers: Words, wrap: int, small: bool) -> list[tuple[int, int]]:
     """The spans of one block; wrap: the usual length of broken lines, 0 where lines are paragraphs, small: the text has only small letters or only capitals."""
-    _, _, pairs = _depths(s, at, end)
-    inside: list[tuple[int, int]] = sorted(pairs.items())
+    pairs = _depths(s, at, end)
+    opener_of = {c: o for o, c in pairs.items()}
+    breaks = [at - 1, *_finditer("\n", s, at, end)]
     ends: dict[int, float] = {}
     for m in _ENDS.finditer(s, at, end):
         e = m.end()
@@ -143,14 +159,14 @@ def _block(s: str, at: int, end: int, openers: dict[str, float], wrap: int, smal
                 continue
         core = mark.rstrip(CLOSE + QUOTES + "’' \xa0 ")
         closed = len(core) < len(mark)
-        line = s.rfind("\n", at, m.start()) + 1 or at
-        if core == "." and _ITEM.fullmatch(s[line : e + 1].lstrip() + "x"[:0]) and s[line:e].strip().rstrip(".)").isalnum():
+        line = breaks[bisect_left(breaks, m.start()) - 1] + 1
+        if core == "." and e - line < 40 and _ITEM.fullmatch(s[line : e + 1].lstrip() + "x"[:0]) and s[line:e].strip().rstrip(".)").isalnum():
             continue
-        if core == "." and _ITEM.match(s[line:end].lstrip()) and s[line : m.start()].strip().strip("(").isalnum() and len(s[line : m.start()].strip()) <= 3:
+        if core == "." and m.start() - line < 40 and _ITEM.match(s[line : min(end, line + AHEAD)].lstrip()) and s[line : m.start()].strip().strip("(").isalnum() and len(s[line : m.start()].strip()) <= 3:
             continue
         nx = _NEXT.match(s, e)
         first = nx[4] or ""
-        rest = s[e:end].lstrip()
+        rest = s[e : min(end, e + AHEAD)].lstrip()
         if not first:
             score = 1.0 if any(c in STRONG + WIDE for c in core) else 0.5
         else:
@@ -173,12 +189,11 @@ def _block(s: str, at: int, end: int, openers: dict[str, float], wrap: int, smal
         else:
             score += 5.0 if not (first[:1].islower() and not small) else 2.0
         if closed:
-            last = e - 1
-            opener = next((o for o, c in inside if c == last), None)
+            opener = opener_of.get(e - 1)
             if opener is None:
-                opener = next((o for o, c in inside if m.start() < c < e), None)
+                opener = min((opener_of[c] for c in range(m.start() + 1, e) if c in opener_of), default=None)
             if opener is not None and s[opener] in QUOTES + "«‹「『《〈":
-                lead = s[at:opener].rstrip(_TRIM)
+                lead = s[max(at, opener - BACK) : opener].rstrip(_TRIM)
                 if lead[-1:] and lead[-1] in ":：,،，":
                     score += 2.0
                 elif wide:
@@ -190,7 +205,7 @@ def _block(s: str, at: int, end: int, openers: dict[str, float], wrap: int, smal
     for i in _finditer("\n", s, at, end):
         left = s[cut:i].rstrip(_TRIM)
         e = cut + len(left)
-        following = s[i + 1 : end].lstrip(_TRIM)
+        following = s[i + 1 : min(end, i + 1 + AHEAD)].lstrip(_TRIM)
         cut = i + 1
         if not left or not following or e in ends and ends[e] > 0:
             continue
@@ -229,7 +244,16 @@ def _block(s: str, at: int, end: int, openers: dict[str, float], wrap: int, smal
         while x < end and s[x] in _TRIM:
             x += 1
         starts.append(x)
+    # a place is inside where an opening mark before it has its closing mark at or behind it
     opened = sorted(pairs)
+    reach = list(accumulate((pairs[o] for o in opened), max))
+
+    def inside(x: int) -> bool:
+        k = bisect_left(opened, x)
+        return k > 0 and reach[k - 1] >= x
+
+    cut_in = [inside(x) for x in starts]
+    order = [(0.0, 0)]  # the totals so far with their stops, the best last
     best = [0.0] + [-math.inf] * (len(stops) - 1)
     back = [0] * len(stops)
     for j in range(1, len(stops)):
@@ -237,17 +261,18 @@ def _block(s: str, at: int, end: int, openers: dict[str, float], wrap: int, smal
         b = ends[e]
         if b <= NO:
             continue
-        for i in range(j - 1, -1, -1):
-            if best[i] == -math.inf:
-                continue
-            a = starts[i]
-            if e - a > REACH and best[j] > -math.inf:
+        cut = inside(e)
+        for total, i in reversed(order):
+            if total + b - 40.0 * cut < best[j]:  # all other penalties only lower what is left
                 break
+            a = starts[i]
             if a >= e:
                 continue
-            score = best[i] + b + _span(s, a, e, end, pairs, opened)
-            if score > best[j]:
+            score = total + b + (_length(e - a) - 40.0 if cut or cut_in[i] else _span(s, a, e, end, pairs))
+            if score > best[j] or score == best[j] and i > back[j]:
                 best[j], back[j] = score, i
+        if best[j] > -math.inf:
+            insort(order, (best[j], j))
     out = []
     j = len(stops) - 1
     while j > 0:
@@ -273,20 +298,15 @@ def _finditer(c: str, s: str, at: int, end: int) -> Iterator[int]:
         i = s.find(c, i + 1, end)
 
 
-def _span(s: str, a: int, e: int, end: int, pairs: dict[int, int], opened: list[int]) -> float:
-    """Length, balance and bare quotations of a span."""
-    score = 0.0
+def _length(n: int) -> float:
+    """The penalty of a span's length where it is long; longer spans never have less."""
+    return -0.3 * math.log(n / 400) if n > 400 else 0.0
+
+
+def _span(s: str, a: int, e: int, end: int, pairs: dict[int, int]) -> float:
+    """Length and bare quotations of a span that cuts no quotation or bracket."""
     n = e - a
-    if n < 12:
-        score -= 0.4 * (12 - n) / 4
-    elif n > 400:
-        score -= 0.3 * math.log(n / 400)
-    for o in opened:
-        if o >= e:
-            break
-        c = pairs[o]
-        if o < a <= c or a <= o < e <= c:
-            return score - 40.0
+    score = _length(n) - (0.4 * (12 - n) / 4 if n < 12 else 0.0)
     if a in pairs and s[a] in QUOTES + "«‹「『《〈" and e < end:
         c = pairs[a]
         if not s[c + 1 : e].strip("., \xa0" + STRONG + WIDE):
@@ -299,6 +319,7 @@ def sentences(text: str | None, openers: dict[str, float] | None = None) -> list
     """(start, end) of each sentence, in code points of the unchanged text; none for null, empty or blank texts."""
     if not text:
         return []
+    openers = openers if isinstance(openers, Words) else Words(openers)
     s = text.replace("\r\n", " \n").translate(_LINES)
     lines = s.split("\n")
     inner = sorted(len(x.rstrip()) for x, y in zip(lines, lines[1:]) if x.strip() and y.strip())
@@ -316,7 +337,7 @@ def sentences(text: str | None, openers: dict[str, float] | None = None) -> list
         while end > at and s[end - 1] in _TRIM:
             end -= 1
         if at < end:
-            out += _block(s, at, end, openers or {}, wrap, small)
+            out += _block(s, at, end, openers, wrap, small)
         at = m.end() if m else end
     return out
 
@@ -325,47 +346,85 @@ _SURE = re.compile(rf"(?:\n[^\S\n]*\n\s*|[{STRONG}{WIDE}][{_CLOSERS}]*\s+)[{re.e
 _WORDS = re.compile(r"\w[\w'’]*")
 
 
+_STOP = re.compile(r"\.(?=[\s,;:)]|$)")
+_ENDWORD = re.compile(r"(?<![\w.])[^\W\d_][\w.]{0,11}$")
+
+
 def opening_counts(text: str) -> tuple[Counter, Counter]:
     """How often each word that does not begin small stands at a sure beginning, and at all."""
     s = text.replace("\r\n", " \n").translate(_LINES)
     return Counter(w for w in _SURE.findall("\n\n" + s) if not w[0].islower()), Counter(w for w in _WORDS.findall(s) if not w[0].islower())
 
 
-def opening_words(rows: DataFrame, text_column: str = "text", least: float = 2e-5) -> dict[str, float]:
-    """Evidence of each word for opening a sentence, from all texts: the log of its share of sure beginnings over a tenth.
-
-    Kept are words seen in at least `least` of all texts (and in 5 texts), of which there are at most as many as an average
-    text has words over `least`; the table's size does not grow with the corpus.
+def stop_counts(text: str) -> tuple[Counter, Counter, Counter, Counter]:
+    """How often each short word, in lower case, stands at all, before a full stop, there at the end of a block, and there before
+    a small letter, a digit or a comma."""
+    s = text.replace("\r\n", " \n").translate(_LINES)
+    stops, ends, runs = Counter(), Counter(), Counter()
+    for m in _STOP.finditer(s):
+        i = m.start()
+        word = _ENDWORD.search(s, max(0, i - 13), i)
+        if not word:
+            continue
+        low = word[0].lower()
+        stops[low] += 1
+        rest = s[i + 1 : i + 40]
+        nx = rest.lstrip()[:1]
+        if not nx or rest[: len(rest) - len(rest.lstrip())].count("\n") > 1:
+            ends[low] += not nx and i + 41 > len(s) or rest.count("\n") > 1
+        elif nx in ",;:" or nx.isdigit() or nx.islower():
+            runs[low] += 1
+    every = Counter(s.lower().split())
+    return Counter({w: every[w] + every[w + ","] + n for w, n in stops.items()}) + Counter({w: n for w, n in every.items() if len(w) <= 12 and w not in stops and w[0].isalpha()}), stops, ends, runs
+
+
+def opening_words(rows: DataFrame, text_column: str = "text", least: float = 2e-5, listed: bool = True) -> Words:
+    """What is learned of words, from all texts: the evidence of each for opening a sentence, the log of its share of sure
+    beginnings over a tenth; and abbreviations: short words that mostly have a full stop behind them and rarely end a
+    block with it (`STOPPED`, `ENDING`), of five letters and more only if small letters, digits or commas follow too. With `listed` the abbreviations known of some languages are added.
+
+    Kept are words seen in at least `least` of all texts (and in 5 texts), so there are at most as many as an average text has
+    words over `least`; the table's size does not grow with the corpus.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin, every, docs = Counter(), Counter(), Counter()
+            sums: dict[str, list[Counter]] = {"o": [Counter() for _ in range(4)], "s": [Counter() for _ in range(5)]}
             for text in batch.column(0).to_pylist():
                 if text:
-                    b, n = opening_counts(text)
-                    begin.update(b)
-                    every.update(n)
-                    docs.update(n.keys())
-            words = [*every]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (begin, every, docs))], names=["word", "begins", "n", "texts"]
-            )
+                    for kind, found in (("o", opening_counts(text)), ("s", stop_counts(text))):
+                        for total, more in zip(sums[kind], found):
+                            total.update(more)
+                        sums[kind][-1].update(found[1].keys())  # texts
+            for kind, cs in sums.items():
+                words = [*cs[1]] if kind == "o" else [w for w in {**cs[0], **cs[1]} if cs[1][w] or cs[0][w] > 1]
+                a, b, c, d = (cs[0], cs[1], Counter(), Counter()) if kind == "o" else cs[:4]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(words), pa.string()), pa.array(words, pa.string()), *(pa.array([x[w] for w in words], pa.int64()) for x in (a, b, c, d, cs[-1]))],
+                    names=["kind", "word", "a", "b", "c", "d", "texts"],
+                )
 
     texts = rows.select(text_column)
-    sums = texts.mapInArrow(count, "word string, begins long, n long, texts long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("begins", "n", "texts")))
+    sums = texts.mapInArrow(count, "kind string, word string, a long, b long, c long, d long, texts long").groupBy("kind", "word").agg(*(F.sum(x).alias(x) for x in ("a", "b", "c", "d", "texts")))
     floor = max(5, math.ceil(least * texts.count()))
-    kept = sums.where(F.col("texts") >= floor).select("word", "begins", "n").collect()
-    return {r.word: max(-3.0, min(3.0, math.log(10 * (r.begins + 0.5) / (r.n + 5)))) for r in kept}
-
-
-def split(rows: DataFrame, id_column: str = "document_id", text_column: str = "text", openers: dict[str, float] | None = None) -> DataFrame:
+    openers, never, may = {}, set(NEVER if listed else ()), set(MAY if listed else ())
+    for r in sums.where(F.col("texts") >= floor).collect():
+        if r.kind == "o":
+            openers[r.word] = max(-3.0, min(3.0, math.log(10 * (r.a + 0.5) / (r.b + 5))))
+        elif r.b >= STOPPED * r.a and r.c <= ENDING * r.b and r.d >= (0.0 if len(r.word) <= 4 else 0.05 if len(r.word) == 5 else 0.3) * r.b and r.word not in may:
+            never.add(r.word)
+        elif r.d >= 0.1 * r.b and r.c <= 0.1 * r.b and r.word not in never:
+            may.add(r.word)
+    return Words(openers, frozenset(never), frozenset(may))
+
+
+def split(rows: DataFrame, id_column: str = "document_id", text_column: str = "text", openers: Words | None = None) -> DataFrame:
     """(id, start_c, end_c) of each sentence of each row.
 
     Offsets count code points of the unchanged text, ends are exclusive, blanks around a sentence are left out. Rows of null,
     empty or blank text have no sentences; repeated rows repeat theirs. Other columns are ignored, whatever their names.
     `openers` is learned from the same rows where it is not given.
     """
-    model = opening_words(rows, text_column) if openers is None else openers
+    model = rows.sparkSession.sparkContext.broadcast(opening_words(rows, text_column) if openers is None else openers)  # bounded where it is learned
     kind = rows.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +433,7 @@ def split(rows: DataFrame, id_column: str = "document_id", text_column: str = "t
                 part = batch.slice(at, 200)
                 which, start, end = [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    for a, e in sentences(text, model):
+                    for a, e in sentences(text, model.value):
                         which.append(i)
                         start.append(a)
                         end.append(e)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
-from tessella.llm.sentences import sentences, split
+from tessella.llm.sentences import Words, opening_words, sentences, split
 
 OPEN = {w: 1.0 for w in "The Die Am Nobody Trials He Er Il La Los See".split()}
 CASES = [
@@ -46,3 +48,30 @@ def test_frame_edges(spark):
     got = split(df).collect()
     assert sorted((r.document_id, r.start_c) for r in got if r.document_id == "a") == [("a", 0), ("a", 0), ("a", 5), ("a", 5)]
     assert not {r.document_id for r in got} & {"b", "c", "d"} and split(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["He said “we go (now. Then) later. But no.” Then A. Li left [see p. 3]. ", "We go (now. Then) later. But no. "])
+def test_a_megabyte_in_one_block(unit):
+    body = unit * (1_000_000 // len(unit))
+    text = body if "“" in unit else f"“{body}” he said."
+    began = time.time()
+    spans = sentences(text, OPEN)
+    assert time.time() - began < 15  # about 3 s; all pairs of places took hours
+    assert len(spans) > 10_000 if "“" in unit else spans == [(0, len(text))]
+
+
+def test_long_spans_are_considered():
+    """A quotation is one sentence however long it is."""
+    text = "He left. “" + "We stay here. " * 2000 + "Why?” asked Ann. She left."
+    assert [text[a:e][-9:] for a, e in sentences(text, OPEN)] == ["He left.", "sked Ann.", "She left."]
+
+
+def test_abbreviations_are_learned(spark):
+    """An abbreviation that no list holds is learned from how it stands; a word that ends sentences is not taken for one."""
+    texts = [f"We met Adv. Khan{i} at noon. The trial of Abschn. {i} went on.\n\nThey paid {i} coins. She said at noon that it was over." for i in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = opening_words(df, listed=False)
+    assert {"adv", "abschn"} <= words.never and not {"over", "noon", "coins"} & words.never
+    cut = [texts[0][a:e] for a, e in sentences(texts[0], words)]
+    assert cut[:2] == ["We met Adv. Khan0 at noon.", "The trial of Abschn. 0 went on."]
+    assert opening_words(df.limit(0)) == {} and "dr" in Words({}).never
