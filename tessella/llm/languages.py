@@ -3,12 +3,15 @@
 Each language has a character model of order `ORDER` with absolute discounting: the highest order on counts, the lower ones
 on the number of different characters before an n-gram, the lowest mixed with an even spread. Languages of one script share
 a table for each order: sorted 64-bit hashes of the n-grams of any of them, beside a row of log-probabilities and a row of
-back-off weights with a column for each language. A sentence is scored on the letters of its own script; the language with
-the lowest cross-entropy a character wins, smoothed over neighbouring sentences by a cost for each change. The entropies
-that a language's own training sentences reach give the limit beyond which an answer is marked as rejected.
+back-off weights with a column for each language. A sentence is scored on the letters of its own script; a cost for each
+change of language cuts a text into stretches, and a stretch has the language of the lowest cross-entropy a character.
 
-The models are fitted on a bounded sample of the labelled rows (`SAMPLE` rows for each language, by hash of the text); as labels
-are partly wrong, the sample's pieces are relabelled by the models and the models fitted again, `PASSES` times.
+A fifth of the labelled sample is held out. It gives each language the cross-entropy beyond which a sentence is rejected:
+rejected sentences have no say in the language of their text, unless all of it is rejected. It also scales the confidence, so
+that of answers with confidence c about the part c is right.
+
+The models are fitted on a bounded sample of the labelled rows (`SAMPLE` different texts for each language, `PIECES` pieces of
+each); as labels are partly wrong, the sample's pieces are relabelled by the models and the models fitted again.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .sentences import opening_words, sentences
 
-ORDER, SAMPLE = 5, 300
+ORDER, SAMPLE, PIECES = 5, 300, 100
+#: Every so manieth text of the sample is held out; part of a language's own held-out sentences that are rejected.
+HELD, SHARE = 5, 0.002
 #: Orders of the models of each pass over the sample; low ones cannot learn wrongly labelled pieces by heart.
 ORDERS = (2, 3, 3, 3, ORDER)
 #: Cost of a change of language between sentences, and the characters beyond which confidence grows no more.
@@ -208,13 +213,13 @@ class Table:
         sizes = np.diff(np.append(begin, len(code)))
         return np.add.reduceat(total, begin, axis=0) if len(begin) else np.zeros((0, width), dtype=np.float32), sizes
 
-    def calibrate(self, texts: dict[str, list[str]], share: float = 0.002) -> None:
-        """Sets each language's limit so that `share` of its own pieces of 20 letters or more lie beyond it."""
+    def calibrate(self, held: list[tuple[str, str]], share: float = SHARE) -> None:
+        """Sets each language's limit so that `share` of its held-out pieces (language, letters) of 20 letters or more lie beyond it."""
         for column, language in enumerate(self.languages):
-            own = [t for t in texts[language] if len(t) >= 20]
-            if own:
+            own = [t for x, t in held if x == language and len(t) >= 20]
+            if len(own) >= 20:
                 scores, sizes = self.score(own)
-                self.limit[column] = np.quantile(-scores[:, column] / sizes, 1 - share) * 1.05
+                self.limit[column] = np.quantile(-scores[:, column] / sizes, 1 - share) * 1.02
 
 
 class Identifier:
@@ -224,6 +229,9 @@ class Identifier:
         """samples: texts, each as its pieces, by (noisy) language label; scripts: the model script of each language."""
         self.only: dict[str, str] = {}
         self.tables: dict[str, Table] = {}
+        #: Factor of the margin in the confidence, held-out pieces, the part of them that is named rightly, and (confidence, rightness) by bands.
+        self.scale, self.held, self.accuracy, self.reliability = 1.0, 0, 1.0, []
+        margins: list[tuple[float, bool]] = []
         by_script = defaultdict(list)
         for language, script in sorted(scripts.items()):
             by_script[script].append(language)
@@ -233,6 +241,7 @@ class Identifier:
                 continue
             docs = [(x, [t for p in doc if script_of(p) == script and len(t := letters(p, script)) >= 8]) for x in languages for doc in samples.get(x, [])]
             docs = [(x, ts) for x, ts in docs if ts]
+            kept, docs = docs[::HELD], [d for i, d in enumerate(docs) if i % HELD]
             table = self._table(docs, languages, orders[0])
             for order in orders[1:3]:  # whole texts first
                 scores = [table.score([" ".join(ts)])[0][0] for _, ts in docs]
@@ -243,9 +252,40 @@ class Identifier:
                 scores, _sizes = table.score([ts[0] for _, ts in pieces]) if pieces else ([], [])
                 pieces = [(table.languages[int(s.argmax())], ts) for s, (_, ts) in zip(scores, pieces)]
                 table = self._table(pieces, languages, order)
-            texts = {x: [t for y, ts in pieces if y == x for t in ts] for x in languages}
-            table.calibrate(texts)
             self.tables[script] = table
+            if not kept:
+                continue
+            # the language of a held-out text is that of its whole; its pieces are then named one by one
+            scores, _sizes = table.score([" ".join(ts) for _, ts in kept])
+            held = [(table.languages[int(s.argmax())], t) for s, (_, ts) in zip(scores, kept) for t in ts]
+            table.calibrate(held)
+            scores, sizes = table.score([t for _, t in held])
+            for (x, _), row, n in zip(held, scores, sizes):
+                first, second = np.sort(row)[::-1][:2]
+                margins.append(((first - second) / n * min(n, ENOUGH), table.languages[int(row.argmax())] == x))
+            # the limits stand; the models are fitted once more on the whole sample
+            final = self._table(pieces + [(x, [t]) for x, t in held], languages, orders[-1])
+            final.limit = table.limit
+            self.tables[script] = final
+        self._settle(margins)
+
+    def _settle(self, margins: list[tuple[float, bool]]) -> None:
+        """The factor of the margin under which the held-out answers are likeliest."""
+        if not margins:
+            return
+        m, right = np.array([x for x, _ in margins]), np.array([y for _, y in margins])
+        self.held, self.accuracy = len(m), float(right.mean())
+
+        def loss(k: float) -> float:
+            p = 1 / (1 + np.exp(-np.clip(k * m, 0, 30)))
+            return float(-np.log(np.where(right, p, 1 - p).clip(1e-6)).mean())
+
+        self.scale = min((0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=loss)
+        p = 1 / (1 + np.exp(-np.clip(self.scale * m, 0, 30)))
+        for low, high in ((0.5, 0.7), (0.7, 0.9), (0.9, 0.99), (0.99, 1.01)):
+            here = (p >= low) & (p < high)
+            if here.any():
+                self.reliability.append((round(float(p[here].mean()), 3), round(float(right[here].mean()), 3), int(here.sum())))
 
     @staticmethod
     def _table(docs: list[tuple[str, list[str]]], languages: list[str], order: int) -> Table:
@@ -255,9 +295,12 @@ class Identifier:
         return Table({x: ts or [f" {x} "] for x, ts in texts.items()}, order)
 
     def pieces(self, pieces: list[str]) -> list[tuple[str, dict[str, float], int]]:
-        """(script, log-probability by language, letters) of each piece; no languages where nothing is known of its script."""
+        """(script, log-probability by language, letters) of each piece; no languages where nothing is known of its script.
+
+        `refused` then has the pieces whose lowest cross-entropy is rejected."""
         out: list[tuple[str, dict[str, float], int]] = [("", {}, 0)] * len(pieces)
         groups = defaultdict(list)
+        refused = self.refused = set()
         for i, p in enumerate(pieces):
             groups[script_of(p)].append(i)
         for script, which in groups.items():
@@ -270,6 +313,9 @@ class Identifier:
                 table = self.tables[script]
                 scores, sizes = table.score(texts)
                 for i, row, n, certain in zip(which, scores.tolist(), sizes.tolist(), sure):
+                    best = max(range(len(row)), key=row.__getitem__)
+                    if self.rejected(script, table.languages[best], row[best], n - 2):
+                        refused.add(i)
                     row = row if certain else [x * UNSURE for x in row]
                     out[i] = (script, dict(zip(table.languages, row)), max(0, n - 2))
         return out
@@ -336,15 +382,24 @@ def fit(rows: DataFrame, reference: DataFrame, text_column: str = "text", label_
     scripts = {r.code: MODEL_OF.get(r.script, "Latn") for r in names}
     mapping = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
     labelled = rows.select(F.col(text_column).alias("text"), mapping[F.split(F.lower(F.trim(F.col(label_column))), "[-_]")[0]].alias("code")).where("code is not null and text is not null")
-    shares = {r.code: min(1.0, sample / r["count"]) for r in labelled.groupBy("code").count().collect()}
-    if not shares:
+    different = labelled.withColumn("h", F.xxhash64("text"))
+    counts = different.groupBy("code").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
+    if not counts:
         return Identifier({}, scripts), codes
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("code")]
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).collect()
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.code, min(1.0, 1.1 * sample / max(r.n, 1)))])[F.col("code")]
+    # drawn by hash and counted once however often a text is repeated; only pieces travel
+    drawn = different.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000_007)) < share * 1_000_000_007).groupBy("code", "h").agg(F.first("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [[p[:2000] for p in _PIECE.split(t) if len(p) >= 12] for t in batch.column(1).to_pylist()]
+            few = [ps if len(ps) <= PIECES else ps[:: -(-len(ps) // PIECES)] for ps in pieces]  # spread over the text
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(few, pa.list_(pa.string()))], names=["code", "pieces"])
+
     pieces = defaultdict(list)
-    for r in drawn:
-        pieces[r.code].append([p for p in _PIECE.split(r.text) if len(p) >= 12])
-    return Identifier(pieces, scripts), codes
+    for r in drawn.select("code", "text").mapInArrow(cut, "code string, pieces array<string>").collect():  # SAMPLE texts a language, PIECES pieces of 2000 characters a text
+        pieces[r.code].append(r.pieces)
+    return Identifier({k: sorted(v) for k, v in pieces.items()}, scripts), codes
 
 
 _PIECE = re.compile(r"[\r\n]{2,}|(?<=[.!?])\s+|(?<=[。！？।])\s*")
@@ -356,11 +411,11 @@ def segmented(rows: DataFrame, reference: DataFrame, id_column: str = "document_
 
     Null, empty and blank texts, and texts without letters of a known script, have no stretches. Repeated rows repeat
     theirs. Confidence is the logistic of the stretch's margin per letter over the next language, for at most `ENOUGH`
-    letters; rejected stretches still name the nearest language.
+    letters, scaled on the held-out sample; rejected stretches still name the nearest language.
     """
     identifier, codes = fit(rows, reference, text_column, label_column)
     openers = opening_words(rows, text_column)
-    packed = rows.sparkSession.sparkContext.broadcast(pickle.dumps((identifier, codes, openers)))  # bounded by the sample
+    packed = rows.sparkSession.sparkContext.broadcast(pickle.dumps((identifier, codes, openers)))  # bounded by the sample, and the words by their share of texts
     kept: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,10 +428,14 @@ def segmented(rows: DataFrame, reference: DataFrame, id_column: str = "document_
                 texts, labels = part.column(1).to_pylist(), part.column(2).to_pylist()
                 spans = [sentences(t, opening) for t in texts]
                 flat = model.pieces([t[a:e] for t, ss in zip(texts, spans) for a, e in ss])
+                refused = model.refused
                 out: dict[str, list] = {k: [] for k in ("which", "start", "end", "language", "confidence", "rejected", "main", "n", "label")}
                 done = 0
                 for i, ss in enumerate(spans):
                     scored = flat[done : done + len(ss)]
+                    said = [("", {}, 0) if done + j in refused else x for j, x in enumerate(scored)]
+                    if any(k and x for _, x, k in said):
+                        scored = said
                     done += len(ss)
                     found = stretches(ss, scored)
                     size: dict[str, int] = defaultdict(int)
@@ -389,7 +448,7 @@ def segmented(rows: DataFrame, reference: DataFrame, id_column: str = "document_
                         out["start"].append(ss[first][0])
                         out["end"].append(ss[last][1])
                         out["language"].append(x)
-                        out["confidence"].append(float(1 / (1 + np.exp(-np.clip(margin / max(n, 1) * min(n, ENOUGH), -30, 30)))))
+                        out["confidence"].append(float(1 / (1 + np.exp(-np.clip(model.scale * margin / max(n, 1) * min(n, ENOUGH), -30, 30)))))
                         out["rejected"].append(model.rejected(script, x, logp, n))
                         out["main"].append(max(sorted(size), key=size.__getitem__))
                         out["n"].append(len(size))

@@ -23,9 +23,10 @@ def test_held_out_accuracy_with_wrong_labels():
     found = model.pieces([sentence(x, rng) for x in truth])
     assert sum(max(s, key=s.get) == x for x, (_, s, _) in zip(truth, found)) >= 196
     assert model.pieces(["เขาไปบ้าน", "123 !"])[0][1] == {"th": 0.0}
+    assert model.held > 100 and model.accuracy > 0.8 and sum(n for _, _, n in model.reliability) == model.held  # a text of the sample holds sentences of other languages
     script, scores, n = model.pieces(["zxqj vkwq jjxz qqqq wxyz kkvq zzzz xxqj"])[0]
     best = max(scores, key=scores.get)
-    assert model.rejected(script, best, scores[best], n)
+    assert model.rejected(script, best, scores[best], n) and model.refused == {0}
 
 
 def test_scripts():
