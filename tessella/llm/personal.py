@@ -171,13 +171,14 @@ def _numbers(s: str, low: str, odd: bool) -> list[tuple[int, int, str]]:
                 spans.append((a, e, "email"))
             done = e
             break
-    for pattern, valid in ((IBAN, iban), (CARD, lambda t: luhn(re.sub(r"\D", "", t)))):
-        for m in pattern.finditer(s):
-            if valid(m[0]) and not _overlaps(spans, *m.span()):
-                spans.append((*m.span(), "id_number"))
     last = -1
     for island in _ISLAND.finditer(s):
         size = island.end() - island.start()
+        if size > 18 and (m := CARD.search(s, island.start(), island.end())) and luhn(re.sub(r"\D", "", m[0])) or (
+            s[max(0, island.start() - 2) : island.start()].isupper() and (m := IBAN.match(s, island.start() - 2)) and iban(m[0])
+        ):
+            if not _overlaps(spans, *m.span()):
+                spans.append((*m.span(), "id_number"))
         if size < 4 or (size < 7 or sum(map(str.isdigit, island[0])) < 7) and not s[island.end() : island.end() + 1].isalpha():
             continue
         from_, to = max(last, island.start() - 6, 0), island.end() + 4
@@ -200,7 +201,7 @@ def _numbers(s: str, low: str, odd: bool) -> list[tuple[int, int, str]]:
             if not _overlaps(spans, a, e) and not (e < len(s) and s[e].isascii() and (s[e].isalnum() or s[e] in "/-")):
                 spans.append((a, e, "phone"))
     posts: list[re.Match] | None = None
-    for hints, anchor, pattern, anycase in ADDRESSES:
+    for hints, anchor, pattern, anycase in ADDRESSES if "0" in low else ():  # an address has a number, here as 0
         done = 0
         if anchor is _POST:
             anchors = posts = [*_POST.finditer(s)] if posts is None else posts
@@ -243,15 +244,11 @@ def _even(s: str) -> str:
     low = s.lower()
     if len(low) != len(s):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
-    return _BLANKS.sub(" ", _DIGIT.sub("0", low))
-
+    return low.translate(_EVENED) if low.isascii() else _BLANKS.sub(" ", _DIGIT.sub("0", low))
 
-_DIGIT, _BLANKS = re.compile(r"\d"), re.compile(r"\s")
 
-
-def _context(even: str, a: int, e: int) -> tuple[str, str]:
-    """The characters before and behind a place, in the form of `_even`."""
-    return even[max(0, a - 8) : a], even[e : e + 5]
+_DIGIT, _BLANKS = re.compile(r"\d"), re.compile(r"[^\S ]")
+_EVENED = {i: "0" for i in range(48, 58)} | {i: " " for i in range(128) if chr(i).isspace()}
 
 
 def _fuller(s: str, taken: bytearray, odd: bool, known: Known, tokens: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
@@ -293,10 +290,12 @@ _ANYWORD = re.compile(rf"[{_L}]+(?:-[{_L}]+)?|[{_C}{_CU}]+(?:-[{_C}{_CU}]+)?")
 _ODD_THEN = re.compile(rf"{_S}((?:{_SP}|-)?(?:(?:[{_L}]|[{_C}{_CU}]ж?)\.(?:{_SP}|-))*)([{_L}]{{3,}}(?:-[{_L}]{{3,}})*|[{_C}{_CU}]{{3,}}(?:-[{_C}{_CU}]{{3,}})*)")
 
 
-def _odd(s: str) -> bool:
-    """Whether letter case tells nothing, by the whole text."""
+def _odd(s: str, tokens: list[tuple[int, int, str]]) -> bool:
+    """Whether letter case tells nothing, by the whole text and its capitalised words."""
+    if tokens and sum(e - a > 3 and w.isupper() for a, e, w in tokens) < 5:
+        return not _SMALL_RUN.search(s)
     small, capital = len(_SMALL_RUN.findall(s)), len(_CAPITAL_RUN.findall(s))
-    return capital > 5 * small or small > 20 and not _CAPS.search(s)
+    return capital > 5 * small or small > 20 and not tokens
 
 
 def _words(s: str, odd: bool) -> list[tuple[int, int, str]]:
@@ -314,18 +313,18 @@ class Counts:
     def learn(self, text: str) -> None:
         s = plain(text)
         every, name = self.every, self.name
-        if _odd(s):
-            every.update(("s", w) for w in {w.lower() for _, _, w in _words(s, True)})
+        tokens = _words(s, False)
+        if _odd(s, tokens):
+            every.update({"s" + w.lower() for _, _, w in _words(s, True)})
             return
         even = _even(s)
-        tokens = _words(s, False)
         mask = bytearray(len(s))
         families: set[str] = set()
         for a, e, more in _fuller(s, mask, False, self.known, tokens):
             mask[a:e] = b"\1" * (e - a)
             families.update(p for f in more for p in [f, *f.split("-")])
             left, right = even[max(0, a - 8) : a], even[e : e + 5]
-            keys = ("l", left), ("r", right), ("b", left[-6:] + "\0" + right)
+            keys = "l" + left, "r" + right, "b" + left[-6:] + "\0" + right
             name.update(keys)
             every.update(keys)
         keys, at, words, behind, given = [], -1, set(), set(), self.known.is_given
@@ -340,10 +339,10 @@ class Counts:
                 j += 1
             at = e = tokens[j][1]
             left, right = even[max(0, a - 8) : a], even[e : e + 5]
-            keys += [("l", left), ("r", right), ("b", left[-6:] + "\0" + right)]
+            keys += ["l" + left, "r" + right, "b" + left[-6:] + "\0" + right]
         every.update(keys)
-        every.update([("w", w) for w in words - families])
-        every.update([("e", w) for w in behind - families])
+        every.update(["w" + w for w in words - families])
+        every.update(["e" + w for w in behind - families])
 
     def settle(self, least: int, often: float, small: float, ending: float) -> Known:
         """What is known, with the log-odds of a name for each surrounding seen with full names often enough."""
@@ -355,8 +354,8 @@ class Counts:
             if key[0] in "lrb" and (k >= least or n >= 4 * least):
                 p = (k + 0.5) / (n + 1)
                 around[key] = math.log(p / (1 - p)) - prior
-        of = lambda side, floor: frozenset(w for (x, w), n in self.every.items() if x == side and n >= floor)
-        endings = frozenset(w for w in of("e", ending) if self.every[("e", w)] >= ENDING_PART * self.every[("w", w)])
+        of = lambda side, floor: frozenset(k[1:] for k, n in self.every.items() if k[0] == side and n >= floor)
+        endings = frozenset(w for w in of("e", ending) if self.every["e" + w] >= ENDING_PART * self.every["w" + w])
         new = Known(None, endings, of("w", often), of("s", small), around)
         new.given = self.known.given
         return new
@@ -365,13 +364,12 @@ class Counts:
 _GAPS = (" ", "\xa0")
 
 
-def names(s: str, taken: list[tuple[int, int, str]], known: Known, odd: bool, even: str) -> list[tuple[int, int, str]]:
+def names(s: str, taken: list[tuple[int, int, str]], known: Known, odd: bool, even: str, tokens: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Places of persons' names."""
     around, common, given = known.around, known.common, known.is_given
     full = bytearray(len(s))
     for a, e, _ in taken:
         full[a:e] = b"\1" * (e - a)
-    tokens = _words(s, odd)
     found = _fuller(s, full, odd, known, tokens)
     spans: list[tuple[int, int]] = []
     families = {p for _, _, fs in found for f in fs for p in [f, *f.split("-")] if len(p) > 3}
@@ -389,8 +387,8 @@ def names(s: str, taken: list[tuple[int, int, str]], known: Known, odd: bool, ev
 
     def score(a: int, e: int) -> float:
         left, right = even[max(0, a - 8) : a], even[e : e + 5]
-        both = around.get(("b", left[-6:] + "\0" + right))
-        one, two = around.get(("l", left), 0.0), around.get(("r", right), 0.0)
+        both = around.get("b" + left[-6:] + "\0" + right)
+        one, two = around.get("l" + left, 0.0), around.get("r" + right, 0.0)
         return one + two if both is None else max(both * 1.2, one + two) if both > 0 else one + two + both
 
     if not odd:
@@ -431,7 +429,7 @@ def names(s: str, taken: list[tuple[int, int, str]], known: Known, odd: bool, ev
             if e - a < 4 or full[a]:
                 continue
             left, right = even[max(0, a - 8) : a], even[e : e + 5]
-            if 1 not in full[a:e] and ("b", left[-6:] + "\0" + right) in around and score(a, e) > 4.0 and not given(w) and not firm(e):
+            if 1 not in full[a:e] and "b" + left[-6:] + "\0" + right in around and score(a, e) > 4.0 and not given(w) and not firm(e):
                 add(a, e)
     fold_of = {f.lower() for f in families}
     for i, (a, e, w) in enumerate(tokens):
@@ -464,9 +462,11 @@ def find(text: str | None, known: Known) -> list[tuple[int, int, str]]:
     if not text:
         return []
     s = plain(text)
-    even, odd = _even(s), _odd(s)
+    even, tokens = _even(s), _words(s, False)
+    if odd := _odd(s, tokens):
+        tokens = _words(s, True)
     spans = _numbers(s, even, odd)
-    spans += names(s, spans, known, odd, even)
+    spans += names(s, spans, known, odd, even, tokens)
     return sorted(spans)
 
 
@@ -504,8 +504,8 @@ def fit(rows: DataFrame, text_column: str = "text") -> Known:
         def counts() -> pa.RecordBatch:
             keys = [*model.every]
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([model.name[k] for k in keys], pa.int64()), pa.array([model.every[k] for k in keys], pa.int64())],
-                names=["side", "around", "named", "n"],
+                [pa.array(keys, pa.string()), pa.array([model.name[k] for k in keys], pa.int64()), pa.array([model.every[k] for k in keys], pa.int64())],
+                names=["key", "named", "n"],
             )
 
         for batch in batches:
@@ -516,13 +516,14 @@ def fit(rows: DataFrame, text_column: str = "text") -> Known:
                     model = Counts(begun)
         yield counts()
 
-    sums = materialize(texts.mapInArrow(run, "side string, around string, named long, n long").groupBy("side", "around").agg(F.sum("named").alias("named"), F.sum("n").alias("n")))
+    sums = materialize(texts.mapInArrow(run, "key string, named long, n long").groupBy("key").agg(F.sum("named").alias("named"), F.sum("n").alias("n")))
     model, least, often = Counts(begun), max(4, math.ceil(total * LEAST)), max(40, total * OFTEN)
     small, ending = max(3, total * OFTEN / 25), max(8, total * ENDING)
-    floor = F.when(F.col("side") == "w", min(often, ending)).when(F.col("side") == "s", small).when(F.col("side") == "e", ending).otherwise(4 * least)
+    side = F.substring("key", 1, 1)
+    floor = F.when(side == "w", min(often, ending)).when(side == "s", small).when(side == "e", ending).otherwise(4 * least)
     kept = (F.col("n") >= floor) | (F.col("named") >= least)
     for r in sums.where(kept).collect():  # bounded by the shares
-        model.name[(r.side, r.around)], model.every[(r.side, r.around)] = r.named, r.n
+        model.name[r.key], model.every[r.key] = r.named, r.n
     release(sums)
     release(texts)
     return model.settle(least, often, small, ending)

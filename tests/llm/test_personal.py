@@ -117,12 +117,12 @@ def test_surroundings_are_counted_over_all_distinct_texts(spark, monkeypatch):
     texts = [f"Item {i}. The report was signed by Elizabeth {names[i % 600].capitalize()}nu on day {i}." for i in range(4)]
     filler = [f"item {i} has nothing." for i in range(40_000)]
     df = spark.createDataFrame([*enumerate(texts + filler + [texts[0]] * 50)], "doc_id int, text string")
-    assert ("l", "gned by ") in P.fit(df).around
+    assert "lgned by " in P.fit(df).around
     other = spark.createDataFrame([*enumerate(texts[:3] + filler + [texts[0]] * 50)], "doc_id int, text string")
-    assert ("l", "gned by ") not in P.fit(other).around
+    assert "lgned by " not in P.fit(other).around
 
 
 def test_text_of_capitals_with_small_letters_at_its_start():
     text = "mail ab@nobi.example\n" + "THE REPORT WENT ROUND AND STAYED THERE. " * 5 + "IT WAS SIGNED BY J. LOMADUN TODAY."
-    found = [text[a:e] for a, e, k in P.find(text, P.Known(around={("l", "gned by "): 2.0})) if k == "person_name"]
+    found = [text[a:e] for a, e, k in P.find(text, P.Known(around={"lgned by ": 2.0})) if k == "person_name"]
     assert found == ["J. LOMADUN"]
