@@ -36,7 +36,7 @@ def js_round(value: Column) -> Column:
 def ranges_decide(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column, parity: float = 0.03) -> Column:
     """1 where a lies above b, -1 below, 0 where the ranges meet or their nearest ends are within `parity` of their mean."""
     gap = F.when(lo_a > hi_b, lo_a - hi_b).when(lo_b > hi_a, lo_b - hi_a).otherwise(0.0)
-    mean = (F.abs(lo_a) + F.abs(hi_b)) / 2
+    mean = F.when(lo_a > hi_b, F.abs(lo_a) + F.abs(hi_b)).otherwise(F.abs(hi_a) + F.abs(lo_b)) / 2
     return F.when((gap == 0) | (gap < parity * mean), 0).when(lo_a > hi_b, 1).otherwise(-1)
 
 

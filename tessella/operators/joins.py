@@ -70,3 +70,11 @@ def merge_full(left: DataFrame, right: DataFrame, key: str, least: list[str], gr
     j = left.join(r, key, "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return j.select(key, *[F.least(c, f"_r_{c}").alias(c) for c in least], *[F.greatest(c, f"_r_{c}").alias(c) for c in greatest], *[(zero(c) + zero(f"_r_{c}")).alias(c) for c in summed])
+
+
+def phrase_matches(texts: DataFrame, words: str, phrases: DataFrame, phrase: str, sizes: tuple[int, ...]) -> DataFrame:
+    """`texts` with each phrase of `phrases` that stands in their word list, once: an equality join on runs of `sizes` words."""
+    w = F.col(words)
+    runs = lambda k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    said = F.array_distinct(F.concat(*[runs(k) for k in sizes]))
+    return texts.withColumn(phrase, F.explode(said)).join(phrases.select(phrase).distinct(), phrase)

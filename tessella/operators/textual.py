@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"(?P<number>\d+(?:[.,]\d+)*)|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+)*)|(?P<punct>[^\w\s])")
+# Designators and calibres ("T-90", "5.56x45mm") are one word.
+_TOKEN = re.compile(r"(?P<word>\d+(?:[.,]\d+)*[^\W\d_][^\W_]*|[^\W\d_][^\W_]*(?:['’-][^\W_]+)*)|(?P<number>\d+(?:[.,]\d+)*)|(?P<punct>[^\w\s])")
 # Value kinds, earlier ones before later ones where they overlap.
 VALUE_PATTERNS = (
     ("url", r"\b(?:https?://|www\.)[^\s<>\"]+[^\s<>\".,;:!?)]"), ("date", r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4}\b|\b\d{1,2}/\d{1,2}/\d{4}\b"),

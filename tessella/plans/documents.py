@@ -75,19 +75,20 @@ def newest_year(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.array_max(F.transform(years, lambda x: x.cast("int"))).alias("newest"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '(^|[^a-z0-9_])contract([^a-z0-9_]|$)') AND regexp_matches(lower(coalesce(text, '')), '(^|[^a-z0-9_])covers([^a-z0-9_]|$)') AS found FROM documents WHERE lang = 'en' AND regexp_full_match(coalesce(text, ''), '[\\x00-\\x7f]*')")
+@query("""
+SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{L}\\p{M}\\p{N}_])contract([^\\p{L}\\p{M}\\p{N}_]|$)') AND regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{L}\\p{M}\\p{N}_])covers([^\\p{L}\\p{M}\\p{N}_]|$)') AS found FROM documents""")
 def all_words_search(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of any script that have all words asked for."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    rows = table(spark, d, "documents", "doc_id", "text", "lang").where((F.col("lang") == "en") & F.coalesce("text", F.lit("")).rlike(r"^[\x00-\x7f]*$"))
-    return rows.select("doc_id", (text.has_word(low, "contract") & text.has_word(low, "covers")).alias("found"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", (text.has_word(low, "contract") & text.has_word(low, "covers")).alias("found"))
 
 
 @query()
 def quote_locations(spark: SparkSession, d: str) -> DataFrame:
-    """Abstracts of patents found again, word for word, anywhere in documents of any language."""
-    docs = table(spark, d, "documents", "doc_id", "text").where("text is not null")
-    patents = table(spark, d, "serving_patent", "pub_no", "abstract").where("char_length(abstract) >= 12").distinct()
-    return textual.quotes(docs, patents, "doc_id", "text", "pub_no", "abstract")
+    """Titles of documents found again, word for word, anywhere in texts of any language."""
+    docs = table(spark, d, "extracted_document", "document_id", "text").where("text is not null")
+    titles = table(spark, d, "extracted_document", F.col("document_id").alias("of"), "title").where("char_length(title) >= 20").distinct()
+    return textual.quotes(docs, titles, "document_id", "text", "of", "title")
 
 
 @query()

@@ -40,8 +40,8 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     return E.nearest(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding").select("vec_id", "other", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT lower(surface) AS fold, count(DISTINCT entity_id) AS entities, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS who FROM extracted_entity_alias WHERE entity_id IS NOT NULL AND regexp_full_match(surface, '[ -~]*') GROUP BY 1 HAVING count(DISTINCT entity_id) > 1")
+@query("SELECT lower(surface) AS fold, count(DISTINCT entity_id) AS entities, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS who FROM extracted_entity_alias WHERE entity_id IS NOT NULL AND surface IS NOT NULL GROUP BY 1 HAVING count(DISTINCT entity_id) > 1")
 def shared_surfaces(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "extracted_entity_alias", "surface", "entity_id").where(F.col("entity_id").isNotNull() & F.col("surface").rlike("^[ -~]*$"))
+    rows = table(spark, d, "extracted_entity_alias", "surface", "entity_id").where("entity_id is not null and surface is not null")
     by = rows.groupBy(F.lower("surface").alias("fold")).agg(F.countDistinct("entity_id").alias("entities"), F.array_join(F.sort_array(F.collect_set("entity_id")), ",").alias("who"))
     return by.where("entities > 1")

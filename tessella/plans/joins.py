@@ -10,10 +10,10 @@ from ..sources.tables import table
 from .registry import query
 
 
-@query("SELECT document_id, source_id FROM extracted_document d WHERE NOT EXISTS (SELECT 1 FROM stage_run r WHERE r.doc_id = d.document_id) AND NOT EXISTS (SELECT 1 FROM serving_patent p WHERE p.pub_no = d.document_id)")
+@query("SELECT document_id, source_id FROM extracted_document d WHERE NOT EXISTS (SELECT 1 FROM stage_run r WHERE r.doc_id = d.document_id AND r.stage = 'extract' AND r.ok) AND NOT EXISTS (SELECT 1 FROM serving_patent p WHERE p.pub_no = d.document_id)")
 def anti_unprocessed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "extracted_document", "document_id", "source_id")
-    done = table(spark, d, "stage_run", F.col("doc_id").alias("document_id")).where("document_id is not null")
+    done = table(spark, d, "stage_run", F.col("doc_id").alias("document_id"), "stage", "ok").where("document_id is not null and stage = 'extract' and ok").select("document_id")
     return docs.join(done, "document_id", "left_anti").join(table(spark, d, "serving_patent", F.col("pub_no").alias("document_id")), "document_id", "left_anti")
 
 
@@ -63,9 +63,11 @@ def _spans(spark: SparkSession, d: str, p: str, extract: bool) -> DataFrame:
     return rows.select(F.col("id").alias(f"{p}id"), F.coalesce("doc_id", "run_id").alias("k"), s.alias(f"{p}s"), (s + 1 + F.expr("ms div 1000")).alias(f"{p}e"))
 
 
-@query(f"SELECT a.k, lid, rid FROM ({_SPANS.format('l', '=')}) a JOIN ({_SPANS.format('r', '<>')}) b ON a.k = b.k AND ls < re AND le > rs")
+@query(f"SELECT a.k, lid, rid FROM ({_SPANS.format('l', '=')}) a JOIN ({_SPANS.format('r', '<>')}) b ON a.k = b.k AND ls - 43200 < re AND le + 43200 > rs")
 def span_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return J.overlap_join(_spans(spark, d, "l", True), _spans(spark, d, "r", False), ["k"], ("ls", "le"), ("rs", "re"), 3600).select("k", "lid", "rid")
+    """Runs that overlap with half a day around an extraction of the same document."""
+    wide = _spans(spark, d, "l", True).withColumns({"ls": F.col("ls") - 43200, "le": F.col("le") + 43200})
+    return J.overlap_join(wide, _spans(spark, d, "r", False), ["k"], ("ls", "le"), ("rs", "re"), 3600).select("k", "lid", "rid")
 
 
 @query(f"SELECT a.k, lid, rid FROM ({_SPANS.format('l', '=')}) a JOIN ({_SPANS.format('r', '<>')}) b ON a.k = b.k AND rs >= ls - 86400 AND re <= le + 86400")

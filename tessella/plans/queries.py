@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import analytics, documents, dml, entities, joins, metrics, ranking, scalars, selections, streams  # noqa: F401
+from . import analytics, documents, dml, entities, flows, joins, metrics, ranking, scalars, selections, streams  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

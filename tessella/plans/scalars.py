@@ -53,9 +53,9 @@ def trusted_dates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("document_id", dates.label(folded).alias("printed"))
 
 
-@query("SELECT comp_id, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug, CASE WHEN length(name) > 20 THEN rtrim(substring(name, 1, 19)) || '…' ELSE name END AS short FROM serving_competitors WHERE regexp_full_match(name, '[ -~]*')")
+@query("SELECT comp_id, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug, CASE WHEN length(name) > 20 THEN rtrim(substring(name, 1, 19)) || '…' ELSE name END AS short FROM serving_competitors WHERE name IS NOT NULL")
 def slugs_and_clips(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "serving_competitors", "comp_id", "name").where(F.col("name").rlike("^[ -~]*$"))
+    rows = table(spark, d, "serving_competitors", "comp_id", "name").where("name is not null")
     return rows.select("comp_id", text.slug(F.col("name")).alias("slug"), text.clip(F.col("name"), 20).alias("short"))
 
 
@@ -73,18 +73,21 @@ def language_codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_document", "document_id", "language").select("document_id", text.language_code(F.col("language"), known).alias("code"))
 
 
-@query("SELECT doc_id, count(*) AS n, round(max(v), 3) AS top FROM (SELECT doc_id, CAST(replace(regexp_extract(x, '^([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') AS DOUBLE) * CASE WHEN lower(x) LIKE '%tonnes' THEN 1000 ELSE 1 END AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b([0-9][0-9,]*(?:\\.[0-9]+)? ?(?:tonnes|percent|hours))\\b', 1)) AS x FROM documents WHERE lang = 'en')) GROUP BY doc_id")
+@query("SELECT doc_id, count(*) AS n, round(max(v), 3) AS top FROM (SELECT doc_id, CAST(replace(regexp_extract(x, '^([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') AS DOUBLE) * CASE WHEN lower(x) LIKE '%tonnes' THEN 1000 ELSE 1 END AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b([0-9][0-9,]*(?:\\.[0-9]+)? ?(?:tonnes|percent|hours))\\b', 1)) AS x FROM documents)) GROUP BY doc_id")
 def text_quantities(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en'").select("doc_id", F.explode(F.filter(measures.quantities(F.col("text")), lambda q: q["unit"].isin("tonnes", "percent", "hours"))).alias("q"))
+    rows = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.filter(measures.quantities(F.col("text")), lambda q: q["unit"].isin("tonnes", "percent", "hours"))).alias("q"))
     base = measures.to_base(F.col("q.value"), F.col("q.unit"))
     return rows.withColumn("v", base["value"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("v"), 3).alias("top"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 1 ELSE -1 END AS decides, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS up FROM part WHERE abs(p_size - 25) > 2")
+@query("""
+WITH r AS (SELECT p_partkey, p_retailprice, CAST(p_size AS DOUBLE) AS lo, p_size * 1.25 + 1 AS hi, 24.0 AS lo_b, 30.0 AS hi_b FROM part),
+ g AS (SELECT *, CASE WHEN lo > hi_b THEN lo - hi_b WHEN lo_b > hi THEN lo_b - hi ELSE 0 END AS gap, CASE WHEN lo > hi_b THEN (lo + hi_b) / 2 ELSE (hi + lo_b) / 2 END AS mean FROM r)
+SELECT p_partkey, CASE WHEN gap = 0 OR gap < 0.03 * mean THEN 0 WHEN lo > hi_b THEN 1 ELSE -1 END AS decides, CAST(floor(p_retailprice + 0.5) AS BIGINT) AS up FROM g""")
 def range_decisions(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size").cast("double")
-    rows = table(spark, d, "part", "p_partkey", "p_size", "p_retailprice").where("abs(p_size - 25) > 2")
-    return rows.select("p_partkey", measures.ranges_decide(size, size, F.lit(25.0), F.lit(25.0)).alias("decides"), measures.js_round(F.col("p_retailprice")).alias("up"))
+    rows = table(spark, d, "part", "p_partkey", "p_size", "p_retailprice")
+    return rows.select("p_partkey", measures.ranges_decide(size, size * 1.25 + 1, F.lit(24.0), F.lit(30.0)).alias("decides"), measures.js_round(F.col("p_retailprice")).alias("up"))
 
 
 @query("SELECT l_suppkey, n, w, round(50 + (100.0 * w / n - 50) * n / (n + 1), 6) AS edge FROM (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag <> 'R') AS w FROM lineitem GROUP BY l_suppkey)")

@@ -107,14 +107,13 @@ def bucket_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT comp_id, unnest(string_split(lower(name), ' ')) AS w FROM serving_competitors WHERE regexp_full_match(name, '[ -~]+')), v AS (SELECT DISTINCT assignee, unnest(string_split(lower(assignee), ' ')) AS w FROM serving_patent WHERE regexp_full_match(assignee, '[ -~]+')),
+WITH w AS (SELECT comp_id, unnest(string_split(lower(name), ' ')) AS w FROM serving_competitors), v AS (SELECT DISTINCT assignee, unnest(string_split(lower(assignee), ' ')) AS w FROM serving_patent),
 df AS (SELECT w FROM v GROUP BY w HAVING count(DISTINCT assignee) * 20 <= (SELECT count(DISTINCT assignee) FROM v)), s AS (SELECT assignee, comp_id, count(DISTINCT v.w) AS n FROM v JOIN df USING (w) JOIN w USING (w) WHERE v.w <> '' GROUP BY ALL)
 SELECT assignee, comp_id, n FROM (SELECT *, row_number() OVER (PARTITION BY assignee ORDER BY n DESC, comp_id) AS rn FROM s) WHERE rn = 1""")
 def best_token_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Each assignee goes to the firm that shares most telling words (those of at most a twentieth of the assignees)."""
-    ascii_only = lambda c: F.col(c).rlike("^[ -~]+$")
-    w = table(spark, d, "serving_competitors", "comp_id", "name").where(ascii_only("name")).select("comp_id", F.explode(F.split(F.lower("name"), " ")).alias("w")).where("w != ''").distinct()
-    v = table(spark, d, "serving_patent", "assignee").where(ascii_only("assignee")).distinct().select("assignee", F.explode(F.array_distinct(F.split(F.lower("assignee"), " "))).alias("w")).where("w != ''")
+    w = table(spark, d, "serving_competitors", "comp_id", "name").select("comp_id", F.explode(F.split(F.lower("name"), " ")).alias("w")).where("w != ''").distinct()
+    v = table(spark, d, "serving_patent", "assignee").distinct().select("assignee", F.explode(F.array_distinct(F.split(F.lower("assignee"), " "))).alias("w")).where("w != ''")
     every = v.select("assignee").distinct().agg(F.count(F.lit(1)).alias("all"))
     telling = v.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(every)).where("df * 20 <= all").select("w")  # one row
     scored = v.join(telling, "w").join(w, "w").groupBy("assignee", "comp_id").agg(F.count(F.lit(1)).alias("n"))

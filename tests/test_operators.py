@@ -8,6 +8,7 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions import dates, measures, text
 from tessella.operators import dml, entities, evidence, joins, ranking, textual
@@ -187,3 +188,65 @@ def test_quotes_anywhere_against_brute_force(spark):
     got = [tuple(r) for r in textual.quotes(docs, wanted, "doc_id", "text", "pub_no", "abstract").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert textual.quotes(docs, wanted.limit(0), "doc_id", "text", "pub_no", "abstract").count() == 0
+
+
+def test_shared_folder_is_demanded_on_clusters(spark):
+    from types import SimpleNamespace
+
+    from tessella.operators.materialize import shared_folder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)
+
+
+def test_tidied_leaves_its_results_only(spark):
+    import os
+
+    from tessella.operators.materialize import materialize, shared_folder, tidied
+
+    @tidied
+    def two(n):
+        part = materialize(spark.range(n))
+        return part.where("id > 1"), 7
+
+    here = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(here))
+    out, seven = two(5)
+    assert seven == 7 and out.count() == 3 and len(set(os.listdir(here)) - before) == 1
+
+
+def test_ranges_decide_by_their_nearest_ends(spark):
+    from tessella.functions.measures import ranges_decide
+
+    rows = [(98.0, 100.0, 104.0, 10000.0), (104.0, 10000.0, 98.0, 100.0), (98.0, 100.0, 101.0, 10000.0), (1.0, 5.0, 4.0, 9.0), (-2.0, -1.0, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    assert [r[0] for r in df.select(ranges_decide(*(F.col(c) for c in "abcd"))).collect()] == [-1, 1, 0, 0, -1]
+
+
+def test_chunks_follow_one_another(spark):
+    from tessella.operators.flows import chunks
+
+    texts = {1: "ab\ncdef\ngh\n", 2: None, 3: "", 4: "x" * 30 + "\ny", 5: "\r\n\r\na"}
+    rows = chunks(spark.createDataFrame([*texts.items()], "k int, t string"), "k", "t", 8).collect()
+    for k, t in texts.items():
+        mine = sorted((r.n, r.start_c, r.end_c) for r in rows if r.k == k)
+        assert "".join((t or "")[a:e] for _, a, e in mine) == (t or "") and [n for n, _, _ in mine] == [*range(len(mine))]
+        assert all(e - a <= 8 or "\n" not in t[a : e - 1] for _, a, e in mine)
+
+
+def test_open_filters_and_hosts(spark):
+    from tessella.operators.flows import matching, page_after, without_hosts
+
+    df = spark.createDataFrame([(1, "a.b.example"), (2, "b.example"), (3, "xb.example"), (4, None)], "id int, host string")
+    assert matching(df, {"id": None, "host": None}).count() == 4 and matching(df, {"id": [1, 2]}).count() == 2
+    assert [r.id for r in page_after(df, "id", 2, 1).collect()] == [3]
+    kept = without_hosts(df, "host", spark.createDataFrame([("b.example",)], "blocked string"), "blocked")
+    assert sorted(r.id for r in kept.collect()) == [3, 4]
+
+
+def test_designators_are_one_token(spark):
+    from tessella.operators.textual import tokens
+
+    got = [r.token for r in tokens(spark.createDataFrame([(1, "The T-90 fires 5.56x45mm, 1,200 rounds.")], "k int, t string"), "k", "t").orderBy("i").collect()]
+    assert got == ["The", "T-90", "fires", "5.56x45mm", ",", "1,200", "rounds", "."]
