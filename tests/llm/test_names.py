@@ -98,3 +98,23 @@ def test_linked(spark):
     assert {(r.key, r.identity) for r in members(*frames, WORDS).collect()} >= {("e1", "e1"), ("e2", "e1"), ("a2", "e1"), ("P1", "e3"), ("e7", "e3"), ("e8", "e8")}
     assert linked(*(f.limit(0) for f in frames), WORDS).count() == 0
     assert linked(*(f.limit(0) for f in frames)).count() == 0
+
+
+def test_even_spaces_meet_by_keys(spark, monkeypatch):
+    """Words that lie evenly apart, which pivots do not cut: all pairs are found, and few others are looked at."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(n))
+    points = {word(rng.randrange(2, 8)) for _ in range(150)}
+    for w in sorted(points):  # slips of one to three letters, at both ends and within
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(w) + 1)
+            w = w[:at] + rng.choice(["", "x", rng.choice("aeiou")]) + w[at + rng.randrange(2) :]
+        points.add(w)
+    reach = lambda a, b: metric_join.RADIUS if (n := min(len(a), len(b))) >= 9 else 0 if n < 4 else 1 if n < 6 else 2
+    want = {x for a, b in itertools.combinations(sorted(points), 2) if abs(len(a) - len(b)) < 4 and near(a, b, reach(a, b)) for x in ((a, b), (b, a))}
+    df = spark.createDataFrame([("x", w) for w in sorted(points)], "space string, word string")
+    got = [(r.a, r.b) for r in within_radius(df, df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    _, heavy, _, total = metric_join._cut(df, df)
+    assert heavy.count() == total == len(points)  # as they were, without copies
+    assert metric_join.proposed(heavy).count() < len(points) ** 2 / 10
