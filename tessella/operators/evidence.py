@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,22 +68,47 @@ def threads(items: DataFrame, key: str, at: str, item: str, duplicate_days: int
     return ordered.mapInPandas(run, f"`{key}` {kinds[key]}, `{at}` {kinds[at]}, `{item}` {kinds[item]}, role string, previous {kinds[item]}")
 
 
+def _earliest(titles: DataFrame, threshold: float, *group: str) -> DataFrame:
+    """(set, group, near): the least key of another title of Jaccard `threshold`, of those below the title's own last key.
+
+    Of `titles` (set, group, first, last, w, bits), w holds words from rare to frequent, so two that reach the threshold share one
+    of their first |w| - ceil(t |w|) + 1; bits differ in one bit at most for each word that one of them lacks. All is decided
+    inside the join, so that what leaves it are titles, not pairs.
+    """
+    n, slack = F.size("w"), 1e-9  # products of decimal fractions may lie beside whole numbers
+    each = titles.withColumn("word", F.explode(F.slice("w", F.lit(1), (n - F.ceil(n * threshold - slack) + 1).cast("int"))))
+    l, r = each.alias("l"), each.alias("r")
+    a, b = F.size("l.w"), F.size("r.w")
+    fits = (F.col("l.set") != F.col("r.set")) & (F.col("l.first") < F.col("r.last")) & (F.least(a, b) >= F.greatest(a, b) * threshold - slack)
+    apart = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits"))) <= (a + b) * ((1 - threshold) / (1 + threshold)) + slack
+    common = F.size(F.array_intersect("l.w", "r.w"))
+    same = F.col("l.word") == F.col("r.word")
+    for g in group:
+        same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
+    met = l.join(r, same & fits & apart & (common / (a + b - common) >= threshold))
+    return met.groupBy("r.set", *(f"r.{g}" for g in group)).agg(F.min("l.first").alias("near"))
+
+
 def near_titles(rows: DataFrame, key: str, title: str, group: str, alone: float = 0.75, together: float = 0.6) -> DataFrame:
     """(key, kept): whether an item's title is no near duplicate of an earlier item's; word sets of Jaccard `alone`, or
-    `together` within one group. Compared with all earlier items, not only with kept ones."""
+    `together` within one group. Compared with all earlier items, not only with kept ones.
+
+    Titles of the same words are compared once, by their least and greatest keys: all of them, and those of each group."""
     from .materialize import materialize
 
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\W+"), lambda w: w != ""))
-    base = materialize(rows.select(key, group, words.alias("w")))
-    each = base.select(key, F.size("w").alias("size"), F.explode("w").alias("word"))
-    df = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("df", "word"))
-    prefix = each.join(df, "word").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * together) + 1).select(key, "size", "word")
-    l, r = prefix.alias("l"), prefix.alias("r")
-    pairs = l.join(r, (F.col("l.word") == F.col("r.word")) & (F.col(f"l.{key}") < F.col(f"r.{key}")) & (F.least("l.size", "r.size") >= F.greatest("l.size", "r.size") * together))
-    ids = pairs.select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).distinct()
-    both = ids.join(base.select(F.col(key).alias("a"), F.col(group).alias("ga"), F.col("w").alias("wa")), "a").join(base.select(F.col(key).alias("b"), F.col(group).alias("gb"), F.col("w").alias("wb")), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    like = common / (F.size("wa") + F.size("wb") - common)
-    dup = both.where((like >= alone) | ((like >= together) & F.col("ga").eqNullSafe(F.col("gb")))).select(F.col("b").alias(key)).distinct().withColumn("_dup", F.lit(True))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\W+"), lambda w: w != "")))
+    base = materialize(rows.select(key, F.col(group).alias("group"), F.array_join(words, " ").alias("words")))
+    ends = F.min("first").alias("first"), F.max("last").alias("last")
+    inside = base.where("words != ''").withColumns({"first": F.col(key), "last": F.col(key)}).groupBy("words", "group").agg(*ends)
+    sets = materialize(inside.groupBy("words").agg(*ends).withColumn("set", F.monotonically_increasing_id()))
+    each = sets.select("set", F.explode(F.split("words", " ")).alias("word"))
+    df = materialize(each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("id", F.monotonically_increasing_id()))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    coded = each.join(df, "word").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "id"))).alias("o")).select("set", F.col("o.id").alias("w"))
+    coded = materialize(coded.withColumn("bits", F.aggregate("w", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x)))))
+    wide = _earliest(sets.select("set", "first", "last").join(coded, "set"), alone)
+    close = _earliest(inside.join(sets.select("words", "set"), "words").drop("words").join(coded, "set"), together, "group")
+    of = sets.select("words", "set", "first").join(wide, "set", "left").select("words", "set", F.least("first", "near").alias("first"))
+    item = base.where("words != ''").join(of, "words").alias("i").join(close.alias("c"), (F.col("i.set") == F.col("c.set")) & F.col("i.group").eqNullSafe(F.col("c.group")), "left")
+    dup = item.where(F.least("i.first", "c.near") < F.col(f"i.{key}")).select(F.col(f"i.{key}").alias(key)).distinct().withColumn("_dup", F.lit(True))
     return base.select(key).join(dup, key, "left").select(key, F.col("_dup").isNull().alias("kept"))

@@ -250,3 +250,29 @@ def test_designators_are_one_token(spark):
 
     got = [r.token for r in tokens(spark.createDataFrame([(1, "The T-90 fires 5.56x45mm, 1,200 rounds.")], "k int, t string"), "k", "t").orderBy("i").collect()]
     assert got == ["The", "T-90", "fires", "5.56x45mm", ",", "1,200", "rounds", "."]
+
+
+def test_near_titles_against_all_pairs(spark, monkeypatch):
+    """Titles against every earlier one, with null titles, groups and keys and repeated titles; titles, not pairs, leave the join."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["plant", "trials", "delays", "costs", "adds", "shift", "é", "x1", "x2", "x3"])
+    rows = [(f"k{i:03}", rng.choice(["g", "h", None]), rng.choice([None, "", "...", "Plant: trials"]) if i % 9 == 0 else " ".join(word() for _ in range(rng.randrange(1, 9)))) for i in range(140)]
+    rows += [(None, "g", "plant trials"), (None, None, "costs")]
+    words = {r: {w for w in re.split(r"\W+", (r[2] or "").lower()) if w} for r in rows}
+
+    def twin(a, b):
+        if a[0] is None or b[0] is None or not a[0] < b[0] or not words[a] or not words[b]:
+            return False
+        like = len(words[a] & words[b]) / len(words[a] | words[b])
+        return like >= 0.75 or like >= 0.6 and a[1] == b[1]
+
+    want = sorted(((b[0], not any(twin(a, b) for a in rows)) for b in rows), key=str)
+    assert {True, False} == {k for _, k in want}
+    df = spark.createDataFrame(rows, "k string, g string, t string")
+    assert sorted(((r.k, r.kept) for r in evidence.near_titles(df, "k", "t", "g").collect()), key=str) == want
+    assert evidence.near_titles(df.limit(0), "k", "t", "g").count() == 0
+    seen = []
+    one = evidence._earliest
+    monkeypatch.setattr(evidence, "_earliest", lambda titles, t, *g: seen.append((titles.count(), one(titles, t, *g).count())) or one(titles, t, *g))
+    evidence.near_titles(spark.createDataFrame([(f"{i:04}", "g", f"plant adds a shift at site {i % 100}") for i in range(600)], "k string, g string, t string"), "k", "t", "g").count()
+    assert seen == [(100, 100), (100, 100)]  # of 600 titles, 100 sets of words
