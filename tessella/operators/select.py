@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialize import materialize
+
 
 def first_reason(checks: dict[str, Column]) -> Column:
     """The name of the first check that holds, in order; null where none does."""
@@ -107,3 +109,33 @@ def grouped_search(views: dict[str, tuple[DataFrame, str, str]], words: list[str
     total = parts.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
     place = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
     return parts.withColumn("place", place).where(F.col("place") <= limit).join(total, "kind")
+
+
+#: Words of a set up to which all its subsets are listed.
+SUBSETS = 8
+
+
+def most_shared(left: DataFrame, right: DataFrame, key: str, item: str, words: str) -> DataFrame:
+    """(key, item, n) of the item of `right` that shares most words with each key of `left`, ties to the least item.
+
+    Both hold arrays of distinct words without blanks, sorted. Equal sets are looked up once. A set of few words is looked up by
+    each of its subsets, of which the right keeps the least item only, so the rows do not grow with the items that share a
+    frequent word; sets of more than `SUBSETS` words meet by single words.
+    """
+    name = F.array_join(words, " ").alias("set")
+    keys = materialize(left.where(F.size(words) > 0).select(key, words, name))
+    asked = keys.select("set", words).distinct()
+    known = materialize(right.where(F.size(words) > 0).groupBy(words).agg(F.min(item).alias(item)).select(words, name.alias("other"), item))
+    few = F.size(words) <= SUBSETS
+    bit = lambda m, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1
+    every = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(words)) - 1)
+    part = F.explode(F.transform(every, lambda m: F.filter(words, lambda _, i: bit(m, i)))).alias("part")
+    listed = lambda df, *more: df.where(few).select(*more, part).withColumn("n", F.size("part").cast("long")).withColumn("part", F.array_join("part", " "))
+    best = listed(known, item).groupBy("part").agg(F.min(item).alias(item))
+    found = listed(asked, "set").join(best, "part").select("set", item, "n")
+    each = lambda df, *more: df.select(*more, F.explode(words).alias("word"))
+    for a, b in ((asked.where(~few), known), (asked.where(few), known.where(~few))):
+        met = each(a, "set").join(each(b, "other", item), "word")
+        found = found.unionByName(met.groupBy("set", "other").agg(F.min(item).alias(item), F.count(F.lit(1)).alias("n")).drop("other"))
+    won = found.groupBy("set").agg(F.min_by(F.struct(item, "n"), F.struct(-F.col("n"), F.col(item).isNull(), item)).alias("b"))
+    return keys.join(won, "set").select(key, f"b.{item}", "b.n")

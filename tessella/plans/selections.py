@@ -114,7 +114,7 @@ def best_token_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Each assignee goes to the firm that shares most telling words (those of at most a twentieth of the assignees)."""
     w = table(spark, d, "serving_competitors", "comp_id", "name").select("comp_id", F.explode(F.split(F.lower("name"), " ")).alias("w")).where("w != ''").distinct()
     v = table(spark, d, "serving_patent", "assignee").distinct().select("assignee", F.explode(F.array_distinct(F.split(F.lower("assignee"), " "))).alias("w")).where("w != ''")
-    every = v.select("assignee").distinct().agg(F.count(F.lit(1)).alias("all"))
-    telling = v.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(every)).where("df * 20 <= all").select("w")  # one row
-    scored = v.join(telling, "w").join(w, "w").groupBy("assignee", "comp_id").agg(F.count(F.lit(1)).alias("n"))
-    return scored.groupBy("assignee").agg(F.expr("min_by(struct(comp_id, n), struct(-n, comp_id))").alias("b")).select("assignee", "b.comp_id", "b.n")
+    every = table(spark, d, "serving_patent", "assignee").agg(F.count_distinct("assignee").alias("all"))
+    telling = v.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(every)).where("df * 20 <= all").select("w").join(w.select("w").distinct(), "w", "left_semi")  # one row
+    sets = lambda df, key: df.join(telling, "w").groupBy(key).agg(F.sort_array(F.collect_set("w")).alias("ws"))
+    return S.most_shared(sets(v, "assignee"), sets(w, "comp_id"), "assignee", "comp_id", "ws")

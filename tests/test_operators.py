@@ -276,3 +276,34 @@ def test_near_titles_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(evidence, "_earliest", lambda titles, t, *g: seen.append((titles.count(), one(titles, t, *g).count())) or one(titles, t, *g))
     evidence.near_titles(spark.createDataFrame([(f"{i:04}", "g", f"plant adds a shift at site {i % 100}") for i in range(600)], "k string, g string, t string"), "k", "t", "g").count()
     assert seen == [(100, 100), (100, 100)]  # of 600 titles, 100 sets of words
+
+
+@pytest.mark.parametrize("few", [8, 2, 0])
+def test_most_shared_against_all_pairs(spark, monkeypatch, few):
+    """By subsets and by single words: the most shared words, ties to the least item, a null item last."""
+    from tessella.operators import select
+
+    monkeypatch.setattr(select, "SUBSETS", few)
+    rng = random.Random(6)
+    words = lambda: sorted({rng.choice("abcdefghi") for _ in range(rng.randrange(0, 6))})
+    left, right = ([(f"{side}{i:02}", words()) for i in range(60)] for side in "ki")
+    right.append((None, ["a", "z"]))
+    left.append(("kz", ["z"]))
+    want = set()
+    for k, a in left:
+        scored = [(-len({*a} & {*b}), i is None, i or "", i) for i, b in right if {*a} & {*b}]
+        if scored:
+            want.add((k, min(scored)[3], -min(scored)[0]))
+    a, b = spark.createDataFrame(left, "k string, ws array<string>"), spark.createDataFrame(right, "i string, ws array<string>")
+    got = select.most_shared(a, b, "k", "i", "ws").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_most_shared_of_a_word_in_every_row(spark):
+    """Four million pairs share a word; 1,000 of them share a second one."""
+    from tessella.operators import select
+
+    a = spark.createDataFrame([(f"k{i}", ["forge", f"own{i}"]) for i in range(2000)], "k string, ws array<string>")
+    b = spark.createDataFrame([(f"i{i:04}", ["forge", f"own{i + 1000}"]) for i in range(2000)], "i string, ws array<string>")
+    out = select.most_shared(a, b, "k", "i", "ws")
+    assert sorted((r.k, r.i, r.n) for r in out.collect()) == sorted((f"k{i}", f"i{i - 1000:04}" if i >= 1000 else "i0000", 2 if i >= 1000 else 1) for i in range(2000))
