@@ -240,14 +240,21 @@ _ISLAND = re.compile(r"[+(]?\d[\d \xa0\r\n().+/-]*\d")
 
 
 def _even(s: str) -> str:
-    """The text small, digits as 0 and blanks as one kind, of the same length."""
+    """The `plain` text small, digits as 0 and blanks as one kind, of the same length."""
     low = s.lower()
     if len(low) != len(s):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
-    return low.translate(_EVENED) if low.isascii() else _BLANKS.sub(" ", _DIGIT.sub("0", low))
+    if low.isascii():
+        return low.translate(_EVENED)
+    for c in "123456789":  # a search for each is cheaper than a look at each letter
+        low = low.replace(c, "0")
+    for c in _BLANKS:
+        low = low.replace(c, " ")
+    return low
 
 
-_DIGIT, _BLANKS = re.compile(r"\d"), re.compile(r"[^\S ]")
+#: All blanks of the regular expressions' \\s but the plain one.
+_BLANKS = "\t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _EVENED = {i: "0" for i in range(48, 58)} | {i: " " for i in range(128) if chr(i).isspace()}
 
 
@@ -473,20 +480,49 @@ def find(text: str | None, known: Known) -> list[tuple[int, int, str]]:
 _SMALL_RUN, _CAPITAL_RUN = re.compile(rf"[a-zß-öø-ÿ{_C}]{{3,}}"), re.compile(rf"[A-ZÀ-ÖØ-Þ{_CU}]{{4,}}")
 
 
-_JAVA_WORD = r"\p{Lu}[\p{Ll}\p{M}’']+(?:[’'\-]?\p{Lu}[\p{Ll}\p{M}]+)*"
-_JAVA_FIRST = "(?=[" + "".join(sorted({w[0] for w in _TITLE_WORDS | _SHE | _HE} | {"ड", "د"})) + "])"  # most places fail here, at little cost
-_JAVA_TITLE = r"(?:" + "|".join(sorted(_TITLE_WORDS | _SHE | _HE, key=len, reverse=True)) + r"|डॉ|د|دکتر)"
+_ANY_TITLE = re.compile(r"(?:" + "|".join(sorted(_TITLE_WORDS | _SHE | _HE, key=len, reverse=True)) + r"|डॉ|د|دکتر)(?=[. \xa0])")  # begins with letters, for a fast search
+_INSIDE = re.compile(r"\w")
+#: Behind a title, in letters that tell what stands there (`_shape`).
+_SHAPE = re.compile(r"\.?_{1,2}(U[l']+(?:['-]?Ul+)*(?:_U[l']+(?:['-]?Ul+)*){1,2})")
+_SIGNS = {".": ".", " ": "_", "\xa0": "_", "’": "'", "'": "'", "-": "-"}
+
+
+def _shape(text: str) -> str:
+    """A letter for each: U capital, l small or a mark, _ blank, signs of names as they are, else x."""
+    kinds = {"Lu": "U", "Ll": "l", "Mn": "l", "Mc": "l", "Me": "l"}
+    return "".join(_SIGNS.get(c) or kinds.get(unicodedata.category(c), "x") for c in text)
+
+
+def titled(text: str) -> list[tuple[str, list[str]]]:
+    """Each title before two or three capitalised words, with these words."""
+    found, done = [], 0
+    for m in _ANY_TITLE.finditer(text):
+        at, size = m.end(), 80
+        if m.start() < done or m.start() and _INSIDE.match(text, m.start() - 1) or not text[at : at + 3].lstrip(". \xa0")[:1].isupper():
+            continue
+        while (words := _SHAPE.match(_shape(text[at : at + size]))) and words.end() > size - 2 and at + size < len(text):
+            size *= 2
+        if not words and size < len(text) - at and " " not in text[at + 3 : at + size] and "\xa0" not in text[at + 3 : at + size]:  # one very long word
+            words = _SHAPE.match(_shape(text[at:]))
+        if words:
+            found.append((m[0], re.split("[ \xa0]", text[at + words.start(1) : at + words.end(1)])))
+            done = at + words.end()
+    return found
 
 
 def given_names(texts: DataFrame, total: int) -> dict[str, str]:
     """Given names, with the gender most of their titles tell, of `total` distinct `texts` (column text).
 
-    A given name is a word between a title and another capitalised word. Every text is read, inside the JVM; what comes to the
-    driver is bounded by the share `TITLED`, since a text has few titles.
+    A given name is a word between a title and another capitalised word. Every text is read; what comes to the driver is bounded
+    by the share `TITLED`, since a text has few titles.
     """
-    run = F.regexp_extract_all("text", F.lit(rf"{_JAVA_FIRST}\b{_JAVA_TITLE}\.?[ \xa0]{{1,2}}{_JAVA_WORD}(?:[ \xa0]{_JAVA_WORD}){{1,2}}"), F.lit(0))
-    found = texts.select(F.xxhash64("text").alias("t"), F.explode(run).alias("m")).select("t", F.split(F.regexp_replace("m", r"\.?[ \xa0]+", " "), " ").alias("x"))
-    each = found.select("t", F.col("x")[0].alias("title"), F.explode(F.slice("x", 2, F.size("x") - 2)).alias("word"), F.element_at("x", -1).alias("last"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, title, w, ws[-1]) for i, t in enumerate(batch.column(1).to_pylist()) for title, ws in titled(t) for w in ws[:-1]]
+            columns = [pa.array([x[j] for x in out], pa.string()) for j in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in out], pa.int32())), *columns], names=["t", "title", "word", "last"])
+
+    each = texts.select(F.xxhash64("text").alias("t"), "text").mapInArrow(run, "t long, title string, word string, last string")
     she, he = (F.count_if(F.col("title").isin(*sorted(x))) for x in (_SHE, _HE))
     counts = each.groupBy("word").agg(F.count_distinct("t").alias("n"), she.alias("she"), he.alias("he"), F.approx_count_distinct("last").alias("families"))
     kept = counts.where((F.col("n") >= max(4, math.ceil(total * TITLED))) & (F.col("families") >= FAMILIES))

@@ -126,3 +126,13 @@ def test_text_of_capitals_with_small_letters_at_its_start():
     text = "mail ab@nobi.example\n" + "THE REPORT WENT ROUND AND STAYED THERE. " * 5 + "IT WAS SIGNED BY J. LOMADUN TODAY."
     found = [text[a:e] for a, e, k in P.find(text, P.Known(around={"lgned by ": 2.0})) if k == "person_name"]
     assert found == ["J. LOMADUN"]
+
+
+def test_titles_before_names():
+    """Titles with the names behind them, as they are told from words, other scripts and long names."""
+    from tessella.llm.personal import titled
+
+    long = "A" + "b" * 300
+    assert titled("Mr. Jan McDonald-Smith met XMr Jan Bo, Mrs\xa0Éva O’Hara Bö. Dr Who") == [("Mr", ["Jan", "McDonald-Smith"]), ("Mrs", ["Éva", "O’Hara", "Bö"])]
+    assert titled(f"Инженер Иван Петров; Dr. {long} Bo. Mr. Jan") == [("Инженер", ["Иван", "Петров"]), ("Dr", [long, "Bo"])]
+    assert titled("") == titled("Mr.") == titled("mr. Jan Bo") == []
